@@ -136,3 +136,15 @@ def label_parts(df: DataFrame, label: str = "cloud") -> DataFrame:
 
 def label_contains(df: DataFrame, text: str, label: str = "cloud") -> DataFrame:
     return df.filter(F.col(label).contains(text))
+
+
+def dimension_totals(charges: DataFrame, names: list[str], cost: str = COST) -> DataFrame:
+    """(dimension, value, cost) for several dimensions in one pass.
+
+    Rows are summed per combination first, so only combinations are unpivoted.
+    """
+    columns = {name: dimension(name) for name in names}
+    combos = charges.groupBy(*columns.values()).agg(F.sum(cost).alias("c"))
+    pairs = F.array(*[F.struct(F.lit(n).alias("dimension"), F.col(c).alias("value")) for n, c in columns.items()])
+    return (combos.select(F.explode(pairs).alias("p"), "c").groupBy("p.dimension", "p.value")
+            .agg(F.sum("c").cast("double").alias("cost")))

@@ -96,11 +96,42 @@ SELECT
 FROM f
 """
 
+#: A feed with planted defects, none of them for AWS. `{charges}` is the table above.
+FEED_SQL = """
+SELECT c.*,
+  c.ProviderName AS _binding,
+  'acct' AS BillingAccountId, 'Account' AS BillingAccountName, 'USD' AS BillingCurrency,
+  CAST(date_trunc('month', c.ChargePeriodStart) AS DATE) AS BillingPeriodStart,
+  CAST(date_trunc('month', c.ChargePeriodStart) + INTERVAL 1 MONTH AS DATE) AS BillingPeriodEnd,
+  CASE WHEN c.ProviderName = 'AWS' OR c.charge_key % 50 <> 7 THEN 'Issuer' END AS InvoiceIssuerName,
+  'usage' AS ChargeDescription, c.EffectiveCost AS BilledCost, c.EffectiveCost AS ContractedCost,
+  CASE WHEN c.ProviderName <> 'AWS' AND c.charge_key % 77 = 0 THEN 'Oops' || CAST(c.charge_key % 9 AS STRING)
+       END AS ChargeClass,
+  CASE WHEN c.ProviderName = 'GCP' THEN NULL
+       WHEN c.ChargeCategory = 'Purchase' AND c.ProviderName <> 'AWS' THEN 'Usage-Based'
+       WHEN c.ChargeCategory = 'Usage' THEN 'Usage-Based' ELSE 'One-Time' END AS ChargeFrequency,
+  CASE WHEN c.CommitmentDiscountId IS NOT NULL AND (c.ProviderName = 'AWS' OR c.charge_key % 4 <> 1)
+       THEN 'Savings Plan' END AS CommitmentDiscountType,
+  CASE WHEN c.ServiceCategory = 'Compute' THEN 'Virtual Machines'
+       WHEN c.ServiceCategory = 'Storage' AND c.ProviderName <> 'AWS' AND c.charge_key % 2 = 0 THEN 'Virtual Machines'
+       WHEN c.ServiceCategory = 'Storage' THEN 'Object Storage'
+       WHEN c.ServiceCategory = 'Databases' AND c.ProviderName = 'OCI' THEN 'Search'
+       END AS ServiceSubcategory
+FROM {charges} c
+"""
+
 TABLES = ("lineitem", "orders", "part", "customer")
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A test table; its schema is read from the footer once per process."""
+    path = f"{sf_dir}/{table}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def charges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +141,12 @@ def charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CHARGES_SQL)
 
 
+def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charges as a billing feed with defects, for the validation operators."""
+    charges(spark, sf_dir).createOrReplaceTempView("feed_charges")
+    return spark.sql(FEED_SQL.replace("{charges}", "feed_charges"))
+
+
 def drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(period, metric, value): distinct orders per month, in long form."""
     orders = read(spark, sf_dir, "orders")
