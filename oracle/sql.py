@@ -580,3 +580,43 @@ add("K23_executive_summary", f"""SELECT {R(SUM('EffectiveCost'), 2)} AS total_sp
 {R(UTIL)} AS utilization_pct, {R(_unused, 2)} AS commitment_waste, {R(COW, 2)} AS cost_of_waste,
 {R(f"100.0 * {COW} / NULLIF({SUM('EffectiveCost')}, 0)")} AS waste_pct, {R(ALLOCATED)} AS allocation_coverage_pct, {READY(ALLOCATED)} AS chargeback_readiness,
 {R(DRIFT)} AS baseline_drift_pct FROM charges""", MONTHS, DELTAS, OPPS)
+
+# --- payloads: what the documents say, straight from the charges ---------------------------------------
+
+def TOT(listed: str, billed: str, cost: str = "EffectiveCost") -> str:
+    return (f"COUNT(*) AS rows, {D(f'SUM({cost})')} AS EffectiveCost, {D(f'SUM({listed})')} AS ListCost, "
+            f"{D(f'SUM({billed})')} AS BilledCost")
+
+
+add("V01_aws_cost_explorer", f"""SELECT CASE WHEN ServiceCategory IN ('Compute','Storage','Databases','Analytics','AI and Machine Learning')
+THEN ServiceCategory ELSE 'Other' END AS ServiceCategory, 'EUR' AS BillingCurrency, {M} AS period, {TOT('ListCost', 'ListCost')} FROM charges GROUP BY ALL""")
+add("V02_azure_query", f"""SELECT CASE WHEN ServiceCategory IN ('Compute','Storage','Security') THEN ServiceCategory ELSE 'Other' END AS ServiceCategory,
+ChargePeriodStart AS day, tag_application AS resource_group, {TOT('EffectiveCost', 'EffectiveCost')} FROM charges
+WHERE ChargePeriodStart < DATE '2000-10-01' GROUP BY ALL""")
+add("V03_gcp_detailed", f"""SELECT CASE WHEN ServiceCategory IN ('Compute','Analytics','Networking') THEN ServiceCategory ELSE 'Other' END AS ServiceCategory,
+tag_application, COALESCE(RegionId, '') AS RegionId, {TOT('ListCost', 'ListCost')} FROM charges GROUP BY ALL""")
+add("V04_cloudability", f"""SELECT ProviderName, ServiceName, COALESCE(RegionId, '') AS RegionId,
+{TOT('CASE WHEN charge_key % 2 = 1 THEN ListCost ELSE EffectiveCost END', 'EffectiveCost')} FROM charges GROUP BY ALL""")
+add("V05_cloudhealth", f"""SELECT COALESCE(SubAccountId, 'none') AS BillingAccountId, ServiceCategory AS ServiceName, {M} AS period,
+{TOT('ListCost', 'ListCost', 'ListCost')} FROM charges WHERE ListCost <> 0 GROUP BY ALL""")
+add("V06_finout", f"""SELECT upper(ProviderName) AS ProviderName, ServiceName,
+{TOT('CASE WHEN ListCost <> 0 THEN ListCost ELSE EffectiveCost END', 'EffectiveCost')} FROM charges GROUP BY ALL""")
+_FLEX = "CASE WHEN charge_key % 2 = 0 THEN ListCost ELSE EffectiveCost END"
+add("V07_flexera", f"SELECT upper(ProviderName) AS ProviderName, COALESCE(SubAccountId, '') AS SubAccountId, {TOT(_FLEX, _FLEX)} FROM charges GROUP BY ALL")
+add("V08_flat_vendors", f"""SELECT CASE ProviderName WHEN 'AWS' THEN 'Vantage' WHEN 'Azure' THEN 'CloudZero' WHEN 'GCP' THEN 'nOps' WHEN 'OCI' THEN 'Harness'
+ELSE 'ServiceNow' END AS InvoiceIssuerName, CASE ProviderName WHEN 'GCP' THEN 'AWS' WHEN 'OCI' THEN '' ELSE upper(ProviderName) END AS ProviderName,
+CASE ProviderName WHEN 'Azure' THEN 'Unknown' ELSE ServiceName END AS ServiceName, ServiceName AS ChargeDescription,
+CASE ProviderName WHEN 'OCI' THEN DATE '1999-10-01' ELSE {M} END AS period, {TOT('EffectiveCost', 'EffectiveCost')} FROM charges GROUP BY ALL""")
+add("V09_kubecost", f"""SELECT CASE WHEN ConsumedQuantity = 0 THEN 'Idle' ELSE 'Namespace' END AS ResourceType,
+CASE WHEN ConsumedQuantity = 0 THEN '__idle__' ELSE COALESCE(ResourceId, 'unnamed') END AS ResourceId, ConsumedQuantity = 0 AS idle,
+{TOT('EffectiveCost', 'EffectiveCost')} FROM charges GROUP BY ALL""")
+add("V10_recommendations", f"""SELECT source, cloud, lever, COUNT(*) AS findings, {D('SUM(EffectiveCost)')} AS monthly FROM (
+SELECT EffectiveCost, CASE ProviderName WHEN 'AWS' THEN 'aws_cost_optimization_hub' WHEN 'Azure' THEN 'azure_advisor' WHEN 'GCP' THEN 'gcp_recommender'
+ WHEN 'OCI' THEN 'OCI Cloud Advisor' ELSE 'finout' END AS source, CASE ProviderName WHEN 'IBM Cloud' THEN '' ELSE ProviderName END AS cloud,
+ CASE WHEN ProviderName = 'GCP' THEN 'idle_resource' WHEN ProviderName = 'IBM Cloud' THEN 'idle'
+ WHEN ProviderName = 'Azure' THEN CASE WHEN charge_key % 2 = 1 THEN 'rate_optimization' ELSE 'rightsizing' END
+ WHEN charge_key % 2 = 1 THEN 'idle_resource' ELSE 'other' END AS lever
+FROM charges WHERE ConsumedQuantity = 0 AND EffectiveCost > 0 AND {USAGE} AND NOT (ProviderName = 'OCI' AND charge_key % 2 = 0)) GROUP BY ALL""")
+add("V11_budgets", """SELECT CASE cloud WHEN 'OCI' THEN 'All' ELSE cloud END AS cloud, application,
+CASE WHEN cloud IN ('AWS', 'GCP') THEN DATE '2001-09-01' ELSE period END AS period, COUNT(*) AS budgets,
+CAST(SUM(CAST(ROUND(budget * 100) AS BIGINT)) AS DOUBLE) / 100 AS budget FROM budgets WHERE cloud <> 'IBM Cloud' GROUP BY ALL""", BUDGETS)

@@ -508,16 +508,26 @@ def _budget(period: Column, cloud: Column | str, application: Column, amount: Co
             amount.alias("budget")]
 
 
+#: Cloud -> container, name key, key of the nested amount, its path(s): a number, or units and nanos.
+CLOUD_BUDGETS = {
+    "AWS": ("Budgets", "BudgetName", "BudgetLimit", ("$.Amount",)),
+    "Azure": ("value", "name", "properties", ("$.amount",)),
+    "GCP": ("budgets", "displayName", "amount", ("$.specifiedAmount.units", "$.specifiedAmount.nanos")),
+    "OCI": ("items", "display_name", "amount", ("$",)),
+}
+
+
 def cloud_budgets(df: DataFrame, cloud: str, today: dt.date) -> DataFrame:
     """Budgets of a cloud's own service, dated to the current month.
 
-    The amount is a number, or units and nanos; the name key differs per cloud.
+    Nested amounts arrive as JSON text inside the record.
     """
-    rows = records(df, "Budgets", "value", "budgets", "items")
+    container, name, holder, paths = CLOUD_BUDGETS[cloud]
     r = F.col("r")
-    name = first(r, "BudgetName", "name", "displayName", "display_name", default="Unallocated" if cloud == "OCI" else "")
-    split = number(r, "units") + number(r, "nanos") / 1e9
-    return rows.select(*_budget(F.lit(today), cloud, name, number(r, "Amount", "amount", default=split)))
+    parts = [F.coalesce(_double(F.get_json_object(F.try_element_at(r, F.lit(holder)), p)), F.lit(0.0)) for p in paths]
+    amount = parts[0] if len(parts) == 1 else parts[0] + parts[1] / 1e9
+    label = first(r, name, default="Unallocated" if cloud == "OCI" else "")
+    return records(df, container).select(*_budget(F.lit(today), cloud, label, amount))
 
 
 FLAT_BUDGETS = {
