@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from spendframe.functions.focus import COLUMNS, MANDATORY, NOT_NULLABLE
+from spendframe.operators.levers import LEVERS
 from spendframe.sources.testcharges import CHARGES_SQL, FEED_SQL
 
 SQL: dict[str, str] = {}
@@ -620,3 +621,8 @@ FROM charges WHERE ConsumedQuantity = 0 AND EffectiveCost > 0 AND {USAGE} AND NO
 add("V11_budgets", """SELECT CASE cloud WHEN 'OCI' THEN 'All' ELSE cloud END AS cloud, application,
 CASE WHEN cloud IN ('AWS', 'GCP') THEN DATE '2001-09-01' ELSE period END AS period, COUNT(*) AS budgets,
 CAST(SUM(CAST(ROUND(budget * 100) AS BIGINT)) AS DOUBLE) / 100 AS budget FROM budgets WHERE cloud <> 'IBM Cloud' GROUP BY ALL""", BUDGETS)
+
+# --- the catalogue is data both sides share ---------------------------------------------------------------
+_CATALOG = ", ".join("(" + ", ".join(f"{v}::DOUBLE" if isinstance(v, float) else "'" + v.replace("'", "''") + "'" for v in row) + ")" for row in LEVERS)
+add("O19_levers_in_use", "SELECT catalog.*, opportunities FROM catalog JOIN (SELECT lever_id AS id, COUNT(*) AS opportunities FROM opps GROUP BY 1) USING (id)",
+    OPPS, f"catalog(id, name, category, clouds, savings_low, savings_high, effort, risk, time_to_value) AS (VALUES {_CATALOG})")
