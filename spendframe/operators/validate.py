@@ -1,7 +1,8 @@
 """Conformance checks as grouped aggregates.
 
-One wide aggregate counts every rule per group (for an ingest: binding and month). Only the
-values that break an enum are grouped again, to list up to five of them.
+One wide aggregate counts every rule per group (for an ingest: binding and month); the verdict
+needs nothing else. Only the values and pairs that break a rule are grouped again, to list
+them.
 """
 
 from __future__ import annotations
@@ -12,8 +13,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spendframe.functions import focus
 
-ISSUE_COLUMNS = ["severity", "rule", "column", "n", "sample"]
-
 
 def missing_columns(df: DataFrame) -> list[str]:
     """Mandatory columns the frame lacks (a schema check, no job)."""
@@ -39,6 +38,9 @@ def _checks(columns: list[str]) -> dict[tuple[str, str, str], Column]:
     for name in focus.NOT_NULLABLE:
         if name in have:
             checks["error", "null", name] = F.count_if(F.col(name).isNull())
+    for name in focus.ENUMS:
+        if name in have:
+            checks["error", "enum", name] = F.count_if(_outside(name))
     if {"ChargeFrequency", "ChargeCategory"} <= have:
         checks["error", "purchase_usage_based", "ChargeFrequency"] = F.count_if(
             (F.col("ChargeCategory") == "Purchase") & (F.col("ChargeFrequency") == "Usage-Based"))
@@ -51,37 +53,41 @@ def _checks(columns: list[str]) -> dict[tuple[str, str, str], Column]:
     return checks
 
 
-def _issue(severity: str, rule: str, column: str, n: Column, sample: Column) -> Column:
+def _issue(severity: str, rule: str, column: str, n: Column) -> Column:
     return F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"),
-                    F.lit(column).alias("column"), n.cast("bigint").alias("n"), sample.alias("sample"))
+                    F.lit(column).alias("column"), n.cast("bigint").alias("n"))
 
 
-def _counted(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rules that are plain counts, from one aggregate."""
-    checks = _checks(df.columns)
-    wide = df.groupBy(*keys).agg(*[n.alias(f"c{i}") for i, n in enumerate(checks.values())])
-    issues = F.array(*[_issue(*rule, F.col(f"c{i}"), F.lit(None).cast("string"))
-                       for i, rule in enumerate(checks)])
-    return wide.select(*keys, F.explode(issues).alias("i")).select(*keys, "i.*").filter("n > 0")
+def _has_pairs(df: DataFrame) -> bool:
+    return {"ServiceCategory", "ServiceSubcategory"} <= set(df.columns)
 
 
-def enum_errors(df: DataFrame, keys: list[str] = []) -> DataFrame:
-    """Per enum column: rows outside it and up to five of the values, sorted."""
+def counted(df: DataFrame, keys: list[str] = []) -> DataFrame:
+    """Per group: row count, distinct bad pairs, and `found`, the array of broken counting rules."""
+    checks = _checks(df.columns)
+    pair = F.when(_bad_pair(), F.struct("ServiceCategory", "ServiceSubcategory")) if _has_pairs(df) else F.lit(None)
+    wide = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct(pair).alias("bad_pairs"),
+                                 *[n.alias(f"c{i}") for i, n in enumerate(checks.values())])
+    found = [_issue(*rule, F.col(f"c{i}")) for i, rule in enumerate(checks)]
+    missing = [_issue("error", "missing_column", c, F.lit(0)) for c in missing_columns(df)]
+    broken = F.filter(F.array(*found), lambda i: i["n"] > 0)
+    return wide.select(*keys, "row_count", "bad_pairs", F.concat(broken, F.array(*missing)).alias("found")
+                       if missing else broken.alias("found"))
+
+
+def enum_samples(df: DataFrame, keys: list[str] = []) -> DataFrame:
+    """Per enum column up to five values outside it, sorted."""
     names = [name for name in focus.ENUMS if name in df.columns]
     pairs = F.array(*[F.when(_outside(name), F.struct(F.lit(name).alias("column"),
                                                      F.col(name).cast("string").alias("value")))
                       for name in names])
-    values = (df.select(*keys, F.explode(pairs).alias("p")).filter("p is not null")
-              .groupBy(*keys, "p.column", "p.value").agg(F.count(F.lit(1)).alias("n")))
-    counts = values.groupBy(*keys, "column").agg(F.sum("n").alias("n"))
+    values = df.select(*keys, F.explode(pairs).alias("p")).filter("p is not null").select(
+        *keys, "p.column", "p.value").distinct()
     # Row number up to 5 is cut per partition before the shuffle, however many values there are.
     first = Window.partitionBy(*keys, "column").orderBy("value")
-    samples = (values.withColumn("rn", F.row_number().over(first)).filter("rn <= 5")
-               .groupBy(*keys, "column")
-               .agg(F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("sample")))
-    out = _null_safe_join(counts, samples, [*keys, "column"])
-    return out.select(*keys, F.lit("error").alias("severity"), F.lit("enum").alias("rule"), "column",
-                      F.col("n").cast("bigint").alias("n"), "sample")
+    return (values.withColumn("rn", F.row_number().over(first)).filter("rn <= 5")
+            .groupBy(*keys, "column")
+            .agg(F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("sample")))
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -101,36 +107,24 @@ def pair_warnings(df: DataFrame, keys: list[str] = []) -> DataFrame:
 
 def issues(df: DataFrame, keys: list[str] = [], strict: bool = False) -> DataFrame:
     """All findings, tidy: keys, severity, rule, column, n, sample."""
-    out = _counted(df, keys)
-    out = out.unionByName(enum_errors(df, keys))
-    if {"ServiceCategory", "ServiceSubcategory"} <= set(df.columns):
+    rows = counted(df, keys).select(*keys, F.explode("found").alias("i")).select(*keys, "i.*")
+    samples = enum_samples(df, keys).withColumn("rule", F.lit("enum"))
+    out = _null_safe_join(rows, samples, [*keys, "rule", "column"], "left")
+    if _has_pairs(df):
         out = out.unionByName(pair_warnings(df, keys))
-    missing = missing_columns(df)
-    if missing:
-        groups = df.select(*keys).distinct() if keys else df.agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-        out = out.unionByName(groups.select(
-            *keys, F.explode(F.array(*[_issue("error", "missing_column", c, F.lit(0), F.lit(None).cast("string"))
-                                       for c in missing])).alias("i")).select(*keys, "i.*"))
-    if strict:
-        out = out.withColumn("severity", F.lit("error"))
-    return out
+    return out.withColumn("severity", F.lit("error")) if strict else out
 
 
 def verdict(df: DataFrame, keys: list[str] = [], strict: bool = False) -> DataFrame:
-    """Per group: row count, errors, warnings, ok. Groups without findings are kept."""
-    found = issues(df, keys, strict).groupBy(*keys).agg(
-        F.count_if(F.col("severity") == "error").alias("errors"),
-        F.count_if(F.col("severity") == "warning").alias("warnings"))
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"))
-    if keys:
-        both = _null_safe_join(counts, found, keys, "left")
-    else:  # two one-row frames
-        both = counts.withColumns({c: found.select(c).scalar() for c in ("errors", "warnings")})
-    return both.select(
-        *keys, "row_count",
-        F.coalesce("errors", F.lit(0)).alias("errors"),
-        F.coalesce("warnings", F.lit(0)).alias("warnings"),
-        (F.coalesce("errors", F.lit(0)) == 0).alias("ok"))
+    """Per group: row count, errors, warnings, ok, from one pass."""
+    def having(severity: str) -> Column:
+        return F.size(F.filter("found", lambda i: i["severity"] == severity)).cast("bigint")
+
+    errors, warnings = having("error"), having("warning") + F.col("bad_pairs")
+    if strict:
+        errors, warnings = errors + warnings, F.lit(0).cast("bigint")
+    return counted(df, keys).select(*keys, "row_count", errors.alias("errors"), warnings.alias("warnings"),
+                                    (errors == 0).alias("ok"))
 
 
 def schema_parity(actual, expected=None) -> list[str]:

@@ -48,13 +48,12 @@ def union_feeds(feeds: dict[str, DataFrame], ingested_at: dt.datetime) -> DataFr
     return reduce(DataFrame.unionByName, [prepare(df, name, ingested_at) for name, df in feeds.items()])
 
 
-def failing(rows: DataFrame) -> DataFrame:
-    """Bindings with an error in any month, with up to five findings each.
+def reasons(rows: DataFrame) -> DataFrame:
+    """Up to five findings per binding.
 
     Findings are per rule and month, so the list per binding is short whatever the row count.
     """
-    keyed = rows.withColumn("month", month())
-    found = validate.issues(keyed, ["_binding", "month"]).filter("severity = 'error'")
+    found = validate.issues(rows.withColumn("month", month()), ["_binding", "month"]).filter("severity = 'error'")
     text = F.concat_ws(" ", F.col("month").cast("string"), "rule", "column", F.col("n").cast("string"))
     return found.groupBy("_binding").agg(F.array_join(F.slice(F.array_sort(F.collect_set(text)), 1, 5), "; ").alias("reason"))
 
@@ -76,9 +75,16 @@ def ingest(spark: SparkSession, bindings: dict[str, Feed], landing: str, target:
     folder = f"{landing}/dt={now.date().isoformat()}/run={uuid.uuid4().hex[:12]}"
     sinks.write_landing(union_feeds(feeds, now), folder)
     landed = sinks.read_landing(spark, folder)
-    # One row per binding: the configured list bounds what reaches the driver.
-    counts = {r["_binding"]: r["rows"] for r in landed.groupBy("_binding").agg(F.count(F.lit(1)).alias("rows")).collect()}
-    bad = {r["_binding"]: r["reason"] for r in failing(landed).collect()}
+    # One row per binding and month: the configured list bounds what reaches the driver.
+    counts: dict[str, int] = {}
+    bad: dict[str, str] = {}
+    for r in validate.verdict(landed.withColumn("month", month()), ["_binding", "month"]).collect():
+        counts[r["_binding"]] = counts.get(r["_binding"], 0) + r["row_count"]
+        if not r["ok"]:
+            bad[r["_binding"]] = ""
+    if bad:  # only the failing bindings' files are read again
+        failed = landed.filter(F.col("_binding").isin(list(bad)))
+        bad = {r["_binding"]: r["reason"] for r in reasons(failed).collect()}
     for name in feeds:
         if name in bad:
             results.append(BindingResult(name, "failed", reason=bad[name]))

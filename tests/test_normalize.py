@@ -69,7 +69,7 @@ def test_clean_feed_is_ok(spark, one):
 
 def test_enum_sample_is_sorted_and_short(spark):
     bad = full(spark, 20, ChargeCategory=F.concat(F.lit("c"), F.col("id").cast("string")))
-    row = va.enum_errors(bad).collect()[0]
+    row = va.issues(bad).collect()[0]
     assert (row["column"], row["n"], row["sample"]) == ("ChargeCategory", 20, "c0, c1, c10, c11, c12")
 
 
@@ -78,12 +78,14 @@ def test_strict_turns_warnings_into_errors(spark, one):
     assert one(va.verdict(df))["warnings"] == 1
     strict = one(va.verdict(df, strict=True))
     assert strict["errors"] == 1 and not strict["ok"]
+    assert {r["severity"] for r in va.issues(df, strict=True).collect()} == {"error"}
 
 
 def test_missing_column_is_an_error(spark):
     df = full(spark).drop("ListCost")
     found = [(r["rule"], r["column"]) for r in va.issues(df).collect()]
     assert found == [("missing_column", "ListCost")]
+    assert va.verdict(df).first()["errors"] == 1
 
 
 def test_schema_parity():
