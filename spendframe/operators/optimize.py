@@ -81,12 +81,20 @@ def _tagged(charges: DataFrame, detectors: list[str]) -> DataFrame:
     ).agg(F.sum(COST).alias("cost"), F.sum(LIST).alias("list"), F.sum("ConsumedQuantity").alias("qty"))
 
 
-def _always_on_only(sums: DataFrame) -> DataFrame:
-    """Drop O06 resources without a month of 648 hours; all months of the others stay."""
-    per_month = F.sum("qty").over(Window.partitionBy("det", "resource", "m"))
-    peak = F.max("_hours").over(Window.partitionBy("det", "resource"))
-    return (sums.withColumn("_hours", per_month).withColumn("_peak", peak)
-            .filter((F.col("det") != "O06") | (F.col("_peak") >= ALWAYS_ON_HOURS)).drop("_hours", "_peak"))
+def _per_resource(sums: DataFrame, detectors: list[str]) -> DataFrame:
+    """What has to be decided per resource: which ones stay, and where each counts once.
+
+    O06 keeps a resource when any of its months reaches 648 hours, with all its months. The
+    first row of a resource in its group carries `new`, so distinct counts are plain sums
+    afterwards. One shuffle by resource serves both; a resource is a few rows by now.
+    """
+    if "O06" in detectors:
+        per_month = F.sum("qty").over(Window.partitionBy("det", "resource", "m"))
+        peak = F.max("_hours").over(Window.partitionBy("det", "resource"))
+        sums = (sums.withColumn("_hours", per_month).withColumn("_peak", peak)
+                .filter((F.col("det") != "O06") | (F.col("_peak") >= ALWAYS_ON_HOURS)).drop("_hours", "_peak"))
+    first = F.row_number().over(Window.partitionBy("det", "resource", "grp").orderBy("m")) == 1
+    return sums.withColumn("new", (F.col("resource").isNotNull() & first).cast("int"))
 
 
 def detector_groups(charges: DataFrame, detectors: list[str] = DETECTORS) -> DataFrame:
@@ -94,17 +102,17 @@ def detector_groups(charges: DataFrame, detectors: list[str] = DETECTORS) -> Dat
 
     `series` is the month list of the two detectors that look at time (O01, O11).
     """
-    sums = _tagged(charges, detectors)
-    if "O06" in detectors:
-        sums = _always_on_only(sums)
+    sums = _per_resource(_tagged(charges, detectors), detectors)
     monthly = F.col("tag").isin("O01", "O11")
-    # Month rows of O11 arrive per cloud; one (month, cloud) entry each keeps the list bounded.
+    # From here on the rows are a report: detector, group, cloud and, for some, month.
+    report = sums.groupBy("det", "grp", "tag", "cloud", F.when(F.col("tag") != "O06", F.col("m")).alias("m")).agg(
+        F.sum("cost").alias("cost"), F.sum("list").alias("list"), F.sum("new").alias("new"))
     entry = F.when(monthly, F.struct("m", F.col("cost").cast("double").alias("cost"), F.col("list").cast("double").alias("list")))
     dollars = ~F.col("tag").isin("O01r", "O12t", "_")
-    groups = sums.groupBy("det", "grp").agg(
+    groups = report.groupBy("det", "grp").agg(
         F.sum(F.when(dollars, F.col("cost"))).cast("double").alias("cost"),
         F.sum(F.when(F.col("tag") == "O12t", F.col("cost"))).cast("double").alias("all_cost"),
-        F.count_distinct("resource").alias("resource_count"),
+        F.sum("new").alias("resource_count"),
         F.array_sort(F.collect_set("cloud")).alias("clouds"),
         F.collect_list(entry).alias("series"),
         F.size(F.collect_set("m")).alias("frame_months"))

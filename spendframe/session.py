@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # The JVM never compiles a method above 8000 bytes of bytecode, so a wider fused stage would
+    # run interpreted; Spark splits those stages instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
