@@ -166,26 +166,32 @@ def _r2(value: Column) -> Column:
     return F.round(value, 2)
 
 
-def _opportunities(groups: DataFrame) -> DataFrame:
+def _with_trends(groups: DataFrame, detectors: list[str]) -> DataFrame:
+    """Trailing list costs for O01; growth, last month and lever splits for O11."""
+    if "O01" in detectors:
+        groups = groups.withColumn("trailing", F.when(F.col("det") == "O01", _tail(_series_by_month("list"), 6)))
+        groups = groups.withColumns({"floor": F.array_min("trailing"), "peak": F.array_max("trailing")})
+    if "O11" in detectors:
+        here = F.col("det") == "O11"
+        groups = groups.withColumn("ai", F.when(here, _series_by_month("cost")))
+        # Growth entries miss the first month, which never counts; fewer than six are all taken.
+        groups = groups.withColumns({"growth": _mean(_tail(_growth(F.col("ai")), 6)),
+                                     "recent": F.try_element_at("ai", F.lit(-1))})
+        growing = (F.size("ai") >= 3) & (F.col("growth") > 0.15) & (F.col("recent") > 0)
+        splits = F.array(*[F.struct(F.lit(k).alias("lever"), F.lit(r).alias("rate")) for k, r in AI_SPLITS])
+        usable = F.filter(splits, lambda s: (s["lever"] != "G9") | F.col("label").contains("AWS"))
+        groups = groups.withColumn("split", F.explode_outer(F.when(here & growing, usable)))
+        groups = groups.filter(~here | F.col("split").isNotNull())
+    return groups
+
+
+def _opportunities(groups: DataFrame, detectors: list[str]) -> DataFrame:
     """Lever, scope, raw monthly value, confidence and evidence per detector group."""
     det, grp, cost, months = F.col("det"), F.col("grp"), F.col("cost"), F.col("months")
     per_month = cost / months
-    trailing = F.col("trailing")
-    floor, peak = F.array_min(trailing), F.array_max(trailing)
-    lists, costs = _series_by_month("list"), _series_by_month("cost")
-    growth = F.col("growth")
-    g = groups.withColumns({
-        "trailing": F.when(det == "O01", _tail(lists, 6)),
-        "ai": F.when(det == "O11", costs),
-    })
-    # Growth entries miss the first month, which never counts; fewer than six are all taken.
-    g = g.withColumn("growth", _mean(_tail(_growth(F.col("ai")), 6)))
-    recent = F.try_element_at("ai", F.lit(-1))
-    splits = F.array(*[F.struct(F.lit(k).alias("lever"), F.lit(r).alias("rate")) for k, r in AI_SPLITS])
-    growing = (F.size("ai") >= 3) & (growth > 0.15) & (recent > 0)
-    usable = F.filter(splits, lambda s: (s["lever"] != "G9") | F.col("label").contains("AWS"))
-    g = g.withColumn("split", F.explode_outer(F.when((det == "O11") & growing, usable)))
-    g = g.filter((det != "O11") | F.col("split").isNotNull())
+    g = _with_trends(groups, detectors)
+    floor, peak, trailing = F.col("floor"), F.col("peak"), F.col("trailing")
+    growth, recent = F.col("growth"), F.col("recent")
 
     idle = F.lit(None)
     for kind, lever in IDLE_LEVERS.items():
@@ -194,9 +200,11 @@ def _opportunities(groups: DataFrame) -> DataFrame:
     licence_rate = F.when(azure, 0.36).when(oci, 0.40).otherwise(0.30)
 
     def pick(**by: Column) -> Column:
-        out = None
+        """The value of the row's detector, over the detectors asked for."""
+        out = F.lit(None)
         for name, value in by.items():
-            out = F.when(det == name, value) if out is None else out.when(det == name, value)
+            if name in detectors:
+                out = F.when(det == name, value).otherwise(out)
         return out
 
     lever = pick(O01=_profile(1), O02=F.lit("R21"), O03=idle, O04=F.lit("U15"), O05=F.lit("U17"), O06=F.lit("U10"),
@@ -226,12 +234,11 @@ def _opportunities(groups: DataFrame) -> DataFrame:
     cloud = F.when(det.isin(PER_CLOUD), grp).otherwise(F.col("label"))
     uncounted = det.isin("O02", "O11", "O12")
     evidence = _evidence(
-        months_observed=F.when(det == "O01", F.size(trailing)).when(~det.isin("O11", "O12"), months),
-        floor=F.when(det == "O01", _r2(floor)), peak=F.when(det == "O01", _r2(peak)),
+        months_observed=F.coalesce(pick(O01=F.size(trailing)), F.when(~det.isin("O11", "O12"), months)),
+        floor=pick(O01=_r2(floor)), peak=pick(O01=_r2(peak)),
         spend=F.when(~det.isin("O01", "O11"), _r2(cost)),
-        recent_monthly=F.when(det == "O11", _r2(recent)),
-        avg_mom_pct=F.when(det == "O11", F.round(growth * 100, 1)),
-        share_of_usage_pct=F.when(det == "O12", F.round(pct(cost, F.col("all_cost")), 1)),
+        recent_monthly=pick(O11=_r2(recent)), avg_mom_pct=pick(O11=F.round(growth * 100, 1)),
+        share_of_usage_pct=pick(O12=F.round(pct(cost, F.col("all_cost")), 1)),
         rate=pick(O01=_profile(0), O04=F.lit(0.20), O05=F.lit(0.125), O06=F.lit(0.65), O07=_profile(2) * 0.40,
                   O08=F.lit(0.07), O09=licence_rate, O10=F.lit(0.0875), O11=F.col("split.rate")))
     return g.select("det", lever.alias("lever_id"), cloud.alias("cloud"), scope.alias("scope"), monthly.alias("raw"),
@@ -246,7 +253,7 @@ def detect(charges: DataFrame, detectors: list[str] = DETECTORS) -> DataFrame:
     cloud or resource type is left out, as grouping keys must be known.
     """
     known = F.col("grp").isNotNull() | ~F.col("det").isin([*PER_CLOUD, "O03"])
-    found = _opportunities(detector_groups(charges, detectors).filter(known))
+    found = _opportunities(detector_groups(charges, detectors).filter(known), detectors)
     found = found.filter(F.col("lever_id").isNotNull() & ((F.col("raw") >= MIN_MONTHLY) | (F.col("det") == "O12")))
     found = found.withColumn("monthly_savings", F.round("raw", 2)).filter(
         (F.col("monthly_savings") >= MIN_MONTHLY) | (F.col("monthly_savings") == 0))
