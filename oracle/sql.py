@@ -460,7 +460,9 @@ add("F09_residual_interval", f"""SELECT {KEYS}, period, {R('l80', 2)} AS lo80, {
 SELECT pt.*, {BAND('linear')} FROM pt JOIN sig ON sig.p = pt.p AND sig.s = pt.s AND sig.model = 'linear')""", HIST, RESID, POINTS)
 add("F10_band_repair", f"""SELECT {KEYS}, period, {REPAIR.replace('GREATEST(y, 0), 2', 'GREATEST(y, 0), 6', 1)} FROM (SELECT pt.*, seasonal_naive AS y, {BAND('seasonal_naive')}
 FROM pt LEFT JOIN sig ON sig.p = pt.p AND sig.s = pt.s AND sig.model = 'seasonal_naive')""", HIST, RESID, POINTS)
-add("F11_backtest", f"SELECT {KEYS}, method, {R('mape')} AS mape, {R('wape')} AS wape, {R('smape')} AS smape, folds FROM sc", HIST, FOLDS)
+add("F11_backtest", f"""SELECT ser.p AS ProviderName, ser.s AS ServiceCategory, m AS method, {R('mape')} AS mape, {R('wape')} AS wape,
+{R('smape')} AS smape, COALESCE(folds, 0) AS folds FROM ser CROSS JOIN (SELECT unnest(['naive', 'seasonal_naive', 'linear', 'ensemble']) AS m)
+LEFT JOIN sc ON sc.p = ser.p AND sc.s = ser.s AND sc.method = m""", HIST, FOLDS)
 add("F12_auto_select", f"SELECT {KEYS}, method, {R('wape')} AS wape FROM best", HIST, FOLDS)
 add("F13_forecast_spend", f"""SELECT {KEYS}, method, period, {REPAIR} FROM (SELECT q.*, {BAND('y')} FROM (
 SELECT pe.*, best.method, CASE best.method WHEN 'ensemble' THEN ensemble WHEN 'seasonal_naive' THEN seasonal_naive ELSE linear END AS y, sigma

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from spendframe.functions.columns import COST, month, ratio, usage
+from spendframe.functions.columns import COST, month, usage
 from spendframe.operators.kpi import with_projection, with_variance
 
 # --- fixed values: dimension -> (charge column, budget column) ---------------------------
@@ -140,12 +140,3 @@ def budget_from_history(charges: DataFrame, uplift: float = 0.06) -> DataFrame:
     years = F.datediff("period", "first") / 30.44 / 12.0
     return actual.withColumn("base", F.coalesce(base, F.col("actual"))).select(
         "period", "cloud", "application", (F.col("base") * F.pow(F.lit(1.0 + uplift), years)).alias("budget"))
-
-
-def budget_by_period(budgets: DataFrame) -> DataFrame:
-    return _months(budgets).groupBy("period").agg(F.sum("budget").alias("budget"))
-
-
-def attainment(df: DataFrame) -> DataFrame:
-    """Actual over budget in percent."""
-    return df.withColumn("attainment_pct", ratio(F.col("actual"), F.col("budget")) * 100.0)
