@@ -66,19 +66,21 @@ def _tagged(charges: DataFrame, detectors: list[str]) -> DataFrame:
     """
     tags = {tag: cond for tag, cond in _tags().items() if tag[:3] in detectors}
     hits = F.array(F.lit("_"), *[F.when(cond, F.lit(tag)) for tag, cond in tags.items()])
-    base = F.col("tag").substr(1, 3)
+    tag = F.col("tag")
     rows = charges.select(
         F.explode(hits).alias("tag"), "ProviderName", "ResourceType", "ResourceId", month().alias("m"),
         COST, LIST, "ConsumedQuantity").filter("tag is not null")
-    real = F.col("tag") != "_"
-    counted = F.col("tag").isin(COUNTED)
-    return rows.groupBy(
-        F.when(real, base).otherwise("_").alias("det"), "tag",
-        F.when(base == "O03", F.col("ResourceType")).when(base.isin(PER_CLOUD), F.col("ProviderName")).alias("grp"),
-        F.when(real & (F.col("tag") != "O12t"), F.col("ProviderName")).alias("cloud"),
-        F.when(F.col("tag").isin("_", "O01", "O06", "O11"), F.col("m")).alias("m"),
-        F.when(counted, F.col("ResourceId")).alias("resource"),
+    # As few keys as possible per exploded row; detector and group follow from them afterwards.
+    sums = rows.groupBy(
+        "tag",
+        F.when(~tag.isin("_", "O12t"), F.col("ProviderName")).alias("cloud"),
+        F.when(tag == "O03", F.col("ResourceType")).alias("kind"),
+        F.when(tag.isin("_", "O01", "O06", "O11"), F.col("m")).alias("m"),
+        F.when(tag.isin(COUNTED), F.col("ResourceId")).alias("resource"),
     ).agg(F.sum(COST).alias("cost"), F.sum(LIST).alias("list"), F.sum("ConsumedQuantity").alias("qty"))
+    det = F.when(tag == "_", "_").otherwise(tag.substr(1, 3))
+    return sums.withColumn("det", det).withColumn(
+        "grp", F.when(F.col("det") == "O03", F.col("kind")).when(F.col("det").isin(PER_CLOUD), F.col("cloud"))).drop("kind")
 
 
 def _per_resource(sums: DataFrame, detectors: list[str]) -> DataFrame:
