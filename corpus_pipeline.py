@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendframe.llm import decontaminate, language, mixing, sharding
+from spendframe.llm import decontaminate, language, mixing, near_dedup, sharding
 from spendframe.llm.common import read, stored, tuned
 
 
@@ -20,6 +20,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language.keep_known(docs, language.fit(docs.filter(~language.held_out())))
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near copies."""
+    tuned(spark)
+    return near_dedup.keep_one(docs)
+
+
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
@@ -39,6 +45,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", known_language),
+    ("near_dedup", one_of_each),
     ("decontamination", without_benchmark),
     ("mixing", mixture),
     ("sharding", shards),

@@ -130,3 +130,30 @@ def winnow(hashes: np.ndarray, span: int) -> np.ndarray:
     span = min(span, len(hashes))
     lowest, edge = sliding(hashes, span, np.minimum), np.zeros(span - 1, hashes.dtype)
     return np.flatnonzero(sliding(np.concatenate([edge, lowest, edge]), span, np.maximum) == hashes)
+
+
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """The bits of each hash spread over all of it."""
+    out = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    out = (out ^ (out >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return out ^ (out >> np.uint64(31))
+
+
+#: Odd multipliers without a pattern, one for each place in a run.
+_ODD = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
+def grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every run of k (at most 64) hashes."""
+    n = len(hashes) - k + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    out = hashes[:n] * _ODD[0]
+    for i in range(1, k):
+        out += hashes[i:i + n] * _ODD[i]
+    return mixed(out)
+
+
+def rows_hashed(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row of a table of hashes; a row equal to a run has the hash that `grams` gives it."""
+    return mixed((rows * _ODD[: rows.shape[1]]).sum(axis=1, dtype=np.uint64))

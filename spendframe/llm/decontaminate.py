@@ -15,14 +15,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import annotate, encoded, flat, fresh, stored, winnow
+from .common import annotate, encoded, flat, fresh, grams, rows_hashed, stored, winnow
 
 WINDOW, GRAM = 10, 5
 #: Words of benchmark text in one block: about 50 bytes each in a worker.
 BLOCK_WORDS = 500_000
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-_ODD = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64 | 1 for i in range(64)], dtype=np.uint64)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -31,19 +30,6 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
 
 
-def grams(hashes: np.ndarray, k: int) -> np.ndarray:
-    """A mixed hash of every run of k words."""
-    n = len(hashes) - k + 1
-    if n < 1:
-        return np.empty(0, np.uint64)
-    out = hashes[:n] * _ODD[0]
-    for i in range(1, k):
-        out += hashes[i:i + n] * _ODD[i]
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(32))
-
-
 class Block:
     """Windows of some benchmark items, found through their fingerprints."""
 
@@ -69,10 +55,7 @@ class Block:
         if not len(starts):
             return starts, starts
         runs = np.lib.stride_tricks.sliding_window_view(hashes, length)[starts]
-        sums = (runs * _ODD[:length]).sum(axis=1, dtype=np.uint64)
-        sums ^= sums >> np.uint64(29)
-        sums *= np.uint64(0xBF58476D1CE4E5B9)
-        sums ^= sums >> np.uint64(32)
+        sums = rows_hashed(runs)
         at = np.minimum(np.searchsorted(keys, sums), len(keys) - 1)
         same = (keys[at] == sums) & (words[at] == runs).all(axis=1)
         return starts[same], owners[at[same]]

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mixing, sharding
+from . import decontaminate, language, mixing, near_dedup, sharding
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": lambda spark, d: decontaminate.scan(read(spark, d, "documents"), read(spark, d, "benchmark")),
+    "op5_near_dedup": lambda spark, d: near_dedup.near_duplicates(read(spark, d, "documents")).drop("set_key"),
     "op6_mixing": lambda spark, d: mixing.mixed_documents(read(spark, d, "documents")),
     "op7_sharding": lambda spark, d: sharding.shard(read(spark, d, "documents")),
     "op8_language_id": lambda spark, d: language.identify(read(spark, d, "documents")),
