@@ -7,6 +7,7 @@ which gives the share of the template that is matched and the span in the docume
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -130,7 +131,7 @@ def align(template: list[int], document: list[int], low: int, high: int) -> tupl
 
 
 def matches(text: str | None, index: Index, least: float = COVERAGE) -> list[tuple[str, int, int, float]]:
-    """(identifier, start, end, coverage) in code points; those of one template don't overlap, the best go first."""
+    """(identifier, start, end, coverage) in code points, in order. Of spans that overlap, the one with more words stays."""
     hashes = words(text)
     found = index.candidates(hashes) if len(hashes) else []
     if not found:
@@ -143,14 +144,13 @@ def matches(text: str | None, index: Index, least: float = COVERAGE) -> list[tup
         part = hashes[first:high + len(template) + band].tolist()
         matched, start, end = align(template, part, low - band - first, high + band - first)
         if matched >= least * len(template):
-            out.append((index.names[t], places[first + start][0], places[first + end - 1][1], matched / len(template)))
+            out.append((matched, index.names[t], places[first + start][0], places[first + end - 1][1], matched / len(template)))
     kept: list[tuple[str, int, int, float]] = []
-    ends: dict[str, list[tuple[int, int]]] = {}
-    for m in sorted(set(out), key=lambda m: (-m[3], m[1], m[0])):
-        if all(m[2] <= s or m[1] >= e for s, e in ends.get(m[0], [])):
-            ends.setdefault(m[0], []).append(m[1:3])
-            kept.append(m)
-    return sorted(kept, key=lambda m: (m[1], m[0]))
+    for _, *m in sorted(set(out), key=lambda m: (-m[0], -m[4], m[2], m[1])):
+        at = bisect.bisect(kept, m[1], key=lambda k: k[1])
+        if (at == 0 or kept[at - 1][2] <= m[1]) and (at == len(kept) or kept[at][1] >= m[2]):
+            kept.insert(at, tuple(m))
+    return kept
 
 
 def find(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None, least: float = COVERAGE, name: str = "found") -> DataFrame:

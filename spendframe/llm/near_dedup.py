@@ -4,13 +4,14 @@ A document's set of word shingles is thrown into the bins of a sketch round afte
 keeps the smallest value of the first round that reached it, and after as many rounds as bins each
 further round fills one bin for certain. Two sets agree in a bin with the probability of their similarity, with
 bounds as for independent bins. Documents that agree in a whole band meet in a bucket. In a bucket, the members
-most often met elsewhere serve as pivots: all others are compared with them on full sets. Buckets
-that still hold more than one component go on with more pivots until every pair is linked or compared.
+most often met elsewhere serve as pivots: all others are compared with them on full sets. In buckets
+that still hold more than one component, the members outside the largest are compared with all others, in blocks.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -20,8 +21,8 @@ from .components import components
 SHINGLE, PERCENT = 5, 85
 #: 25 bands of 5 bins: a pair at the threshold is missed with probability (1 - 0.85^5)^25, under 1e-6.
 BANDS, ROWS = 25, 5
-#: Pivots in the first round, and how many times as many after each further one.
-PIVOTS, MORE = 2, 8
+#: Pivots of a bucket, and members of a bucket in one block.
+PIVOTS, BLOCK = 2, 512
 
 _SEEDS = mixed(np.arange(1, 513, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _EMPTY = np.uint64(2**64 - 1)
@@ -100,40 +101,67 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return annotate(full, ["left", "right"], _similar(percent), "similar boolean", "is").filter("is.similar").select("a", "b")
 
 
+def _spread(percent: int):
+    """Links between components in a pair of blocks: no more than it takes to join what belongs together."""
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["doc_id", "set_key"], kind="stable").reset_index(drop=True)
+        sets = [np.frombuffer(e, np.uint64) for e in rows["elements"]]
+        sizes, block = np.array([len(s) for s in sets]), rows["block"].to_numpy()
+        _, root = np.unique(rows["component"].to_numpy(), return_inverse=True)
+        tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(at, kind="stable")
+        holders, starts = owner[order], np.searchsorted(at[order], np.arange(len(tokens) + 1))
+        ends = np.cumsum(sizes)
+        largest = np.argmax(np.bincount(root))
+        found = []
+        for i in np.flatnonzero(root != largest):
+            common = np.bincount(np.concatenate([holders[starts[t]:starts[t + 1]] for t in at[ends[i] - sizes[i]:ends[i]]]), minlength=len(sets))
+            near = (100 * common >= percent * (sizes[i] + sizes - common)) & (rows["i"].iat[0] == rows["j"].iat[0] or block != block[i])
+            for j in np.flatnonzero(near):
+                if root[i] != root[j]:
+                    found.append((i, j))
+                    root[root == root[j]] = root[i]
+        pick = rows[["doc_id", "set_key"]]
+        left, right = (pick.iloc[[f[side] for f in found]].reset_index(drop=True) for side in (0, 1))
+        return pd.concat([left.add_prefix("a_"), right.add_prefix("b_")], axis=1)
+
+    return compare
+
+
 def links(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Components (id, component) of the documents that meet in buckets.
 
-    `members` has (key, id, n): a bucket, a document in it, its set's size. In a round, the members of a bucket that
-    are not yet in a pivot's component are compared with that pivot. A bucket of m members in one component is done
-    after the first round; the rounds end when no bucket has members in different components that
-    were never compared. The work is a row per member and pivot, never all pairs of a bucket at once.
+    `members` has (key, id, n): a bucket, a document in it, its set's size. First all members of a bucket are compared with its
+    pivots: a row per member and pivot. What then is still in different components is compared in blocks: the
+    members of a bucket are dealt over blocks by hash, each pair of blocks is one group of bounded size,
+    and only links between components come out of it. So every pair in a bucket is linked, connected or compared.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("m"))
     weights = members.join(sizes, "key").groupBy("id").agg(F.sum("m").alias("weight"))
     members = stored(members.join(weights, "id"), "members")
-    done, until, edges, labels, tested = 0, PIVOTS, None, None, None
-    while True:
-        state = members.withColumn("c", F.col("id"))
-        if labels is not None:
-            state = members.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        open_ = state.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter(
-            (F.col("lo") != F.col("hi")) & (F.col("m") > done + 1)).select("key")
-        state = stored(state.join(open_, "key"), "state")
-        if not state.take(1):
-            return labels
-        ranked = state.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "id")))
-        pivots = ranked.filter((F.col("place") <= until)).filter(F.col("place") > done)
-        near = (F.col("x.c") != F.col("p.c")) & (100 * F.least("x.n", "p.n") >= percent * F.greatest("x.n", "p.n"))
-        pairs = state.alias("x").join(pivots.alias("p"), (F.col("x.key") == F.col("p.key")) & near).select(
-            F.least("x.id", "p.id").alias("a"), F.greatest("x.id", "p.id").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        found = verified(pairs, sets, percent)
-        edges = stored(found if edges is None else edges.union(found), "links")
-        tested = pairs if tested is None else tested.union(pairs)
-        labels = components(edges)
-        done, until = until, until * MORE
+    ranked = members.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "id")))
+    pivots = ranked.filter(F.col("place") <= PIVOTS)
+    near = (F.col("x.id") != F.col("p.id")) & (100 * F.least("x.n", "p.n") >= percent * F.greatest("x.n", "p.n"))
+    pairs = members.alias("x").join(pivots.alias("p"), (F.col("x.key") == F.col("p.key")) & near).select(
+        F.least("x.id", "p.id").alias("a"), F.greatest("x.id", "p.id").alias("b")).distinct()
+    edges = stored(verified(stored(pairs, "pairs"), sets, percent), "links")
+    labels = components(edges)
+    state = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # Buckets with the same members ask the same question: one of them stays.
+    open_ = state.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                     F.bit_xor(F.xxhash64("id")).alias("who")).filter(
+        (F.col("lo") != F.col("hi")) & (F.col("m") > PIVOTS + 1)).groupBy("who", "m").agg(F.min("key").alias("key"))
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = state.join(open_.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        F.xxhash64("component").alias("component"))
+    paired = paired.join(sets, "id").select("key", "i", "j", "block", "component", "id.*", "elements")
+    more = paired.groupBy("key", "i", "j").applyInPandas(_spread(percent), "a_doc_id long, a_set_key binary, b_doc_id long, b_set_key binary")
+    more = stored(more.select(F.struct(F.col("a_doc_id").alias("doc_id"), F.col("a_set_key").alias("set_key")).alias("a"),
+                              F.struct(F.col("b_doc_id").alias("doc_id"), F.col("b_set_key").alias("set_key")).alias("b")), "links")
+    return components(edges.union(more)) if more.take(1) else labels
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -158,8 +186,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     sets = flat(annotate(whole, ["text"], _sets, "elements binary, set_key binary", "s"), "s", "doc_id").join(
         met, ["doc_id", "set_key"]).groupBy(F.struct("doc_id", "set_key").alias("id")).agg(F.first("elements").alias("elements"))
     labels = links(members, stored(sets, "sets"), percent)
-    joined = classes if labels is None else classes.join(labels, "id", "left")
-    component = F.col("id") if labels is None else F.coalesce("component", "id")
+    joined = classes.join(labels, "id", "left")
+    component = F.coalesce("component", "id")
     found = joined.select("set_key", component["doc_id"].alias("component_id"), "rows", "doc_id").filter(
         (F.col("rows") > 1) | (F.col("component_id") != F.col("doc_id"))).select("set_key", "component_id")
     out = signed.join(found, "set_key", "left").select(
