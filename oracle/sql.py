@@ -42,7 +42,7 @@ add("S07_bounded_scan", f"""SELECT ProviderName, COUNT(*) AS rows, MIN(ChargePer
 FROM charges WHERE ProviderName IN ('AWS','GCP') AND ChargePeriodStart >= DATE '2002-06-15' - INTERVAL 25 MONTH GROUP BY 1""")
 add("S14_month_slices", """SELECT binding, CAST(GREATEST(s, m) AS DATE) AS lo, CAST(LEAST(e, m + INTERVAL 1 MONTH) AS DATE) AS hi FROM (
   SELECT ProviderName AS binding, MIN(ChargePeriodStart) + 9 AS s, MAX(ChargePeriodStart) + 1 AS e FROM charges GROUP BY 1) r,
-  (SELECT unnest(generate_series(DATE '1999-01-01', DATE '2002-12-01', INTERVAL 1 MONTH)) AS m) x
+  (SELECT unnest(generate_series(DATE '1994-01-01', DATE '2002-12-01', INTERVAL 1 MONTH)) AS m) x
 WHERE m < e AND m + INTERVAL 1 MONTH > s""")
 add("S16_issuer_stamp", """SELECT 'empty' AS feed, 'Vendor' AS InvoiceIssuerName, COUNT(*) AS rows FROM charges
 UNION ALL SELECT 'partly', CASE WHEN charge_key % 2 = 0 THEN 'Given' END, COUNT(*) FROM charges GROUP BY 2""")
@@ -137,17 +137,17 @@ SELECT DISTINCT 'environments', tag_environment FROM charges""")
 add("P09_provenance", """SELECT COUNT(*) AS rows, MIN(ChargePeriodStart) AS period_start, MAX(ChargePeriodStart) AS period_end,
 COUNT(*) FILTER (WHERE InvoiceIssuerName IS NULL OR ChargeClass IS NOT NULL) = 0 AS conformant FROM feed""", FEED)
 add("P10_trailing_breakdown", """SELECT ServiceName, CAST(c AS DOUBLE) AS cost, CAST((SELECT SUM(c) FROM t) AS DOUBLE) AS total_usd
-FROM t ORDER BY c DESC, ServiceName LIMIT 20""",
+FROM t""",
     "t AS (SELECT ServiceName, SUM(EffectiveCost) AS c FROM charges WHERE ChargePeriodStart >= DATE '2000-08-01' GROUP BY 1)")
 add("P11_top_and_other", """SELECT CASE WHEN rn < 8 OR n <= 8 THEN tag_application ELSE 'Other' END AS tag_application,
 NOT (rn < 8 OR n <= 8) AS folded, CAST(SUM(c) AS DOUBLE) AS cost FROM (
   SELECT *, row_number() OVER (ORDER BY c DESC, tag_application) AS rn, COUNT(*) OVER () AS n FROM (
     SELECT tag_application, SUM(EffectiveCost) AS c FROM charges GROUP BY 1)) GROUP BY 1, 2""")
 add("P12_dense_matrix", f"""SELECT tag_application, month, COALESCE(CAST(c AS DOUBLE), 0) AS cost
-FROM (SELECT tag_application FROM charges GROUP BY 1 ORDER BY SUM(EffectiveCost) DESC, 1 LIMIT 5) a
+FROM (SELECT DISTINCT tag_application FROM charges) a
 CROSS JOIN (SELECT DISTINCT {M} AS month FROM charges) b
 LEFT JOIN (SELECT tag_application, {M} AS month, SUM(EffectiveCost) AS c FROM charges GROUP BY 1, 2) d USING (tag_application, month)""")
-add("P13_hierarchy", f"""SELECT 2 AS level, ProviderName AS level1, tag_application AS level2, {COST} FROM charges GROUP BY 2, 3
+add("P13_hierarchy", f"""SELECT 2 AS level, ProviderName AS level1, RegionId AS level2, {COST} FROM charges WHERE RegionId IS NOT NULL GROUP BY 2, 3
 UNION ALL SELECT 1, ProviderName, NULL, {COST} FROM charges GROUP BY 2
 UNION ALL SELECT 0, NULL, NULL, {COST} FROM charges""")
 add("P14_drill_down", f"SELECT {M} AS period, {COST} FROM charges WHERE tag_application = 'app-3' GROUP BY 1")
@@ -307,13 +307,13 @@ add("L16_tag_limits", """SELECT ProviderName, 'not_lowercase' AS rule, COUNT(*)
 WHERE ProviderName = 'GCP' AND Tags LIKE '{"%' GROUP BY 1""")
 
 # --- budget -----------------------------------------------------------------------------------------------
-PLANTED = """planted AS (SELECT * FROM budgets WHERE month(period) <> 2
+PLANTED = """planted AS (SELECT * FROM budgets
 UNION ALL SELECT period, cloud, 'app-new', budget FROM budgets WHERE application = 'app-1' AND month(period) = 6)"""
 add("B01_monthly_actuals", f"SELECT {M} AS period, {D('SUM(EffectiveCost)')} AS actual FROM charges WHERE {USAGE} GROUP BY 1")
-add("B02_variance_table", f"""SELECT cloud, application, period, {R('a', 2)} AS actual, {R('b', 2)} AS budget, {VARIANCE('a', 'b', 2)} FROM (
+add("B02_variance_table", f"""SELECT cloud, application, period, {R('a')} AS actual, {R('b', 2)} AS budget, {VARIANCE('a', 'b', 2)} FROM (
 SELECT cloud, application, period, COALESCE(actual, 0) AS a, COALESCE(budget, 0) AS b FROM act FULL JOIN planted USING (cloud, application, period))""",
     BUDGETS, PLANTED)
-add("B02b_variance_business_unit", f"""SELECT business_unit, {R('a', 2)} AS actual, {R('b', 2)} AS budget, {VARIANCE('a', 'b', 2)} FROM (
+add("B02b_variance_business_unit", f"""SELECT business_unit, {R('a')} AS actual, {R('b', 2)} AS budget, {VARIANCE('a', 'b', 2)} FROM (
 SELECT tag_business_unit AS business_unit, {SUM('EffectiveCost')} AS a, 0.0::DOUBLE AS b FROM charges WHERE {USAGE} GROUP BY 1)""")
 BRIDGE = """gap AS (SELECT cloud, SUM(actual) AS a, SUM(budget) AS b FROM act JOIN budgets USING (cloud, application, period) GROUP BY 1),
 steps AS (SELECT 0 AS position, 'Budget' AS label, SUM(b) AS delta FROM gap
@@ -336,7 +336,7 @@ add("B05_burn_down", f"""SELECT period, {R('ca', 2)} AS cumulative_actual, {R('c
 {R('CASE WHEN cb > 0 THEN ca / cb END')} AS pace FROM (
 SELECT period, SUM(a) OVER (ORDER BY period) AS ca, SUM(COALESCE(b, 0)) OVER (ORDER BY period) AS cb FROM
  (SELECT period, SUM(actual) AS a FROM act GROUP BY 1) LEFT JOIN
- (SELECT period, SUM(budget) AS b FROM budgets WHERE period >= DATE '2000-01-01' GROUP BY 1) USING (period))""", BUDGETS)
+ (SELECT period, SUM(budget) AS b FROM budgets GROUP BY 1) USING (period))""", BUDGETS)
 add("B06_run_rate_table", f"""SELECT cloud, {R('m', 2)} AS mtd, {R('m / e', 2)} AS burn_rate_daily, {R('m / e * 365', 2)} AS run_rate_annual FROM (
 SELECT ProviderName AS cloud, {D('SUM(EffectiveCost)')} AS m, MAX(MAX(day(ChargePeriodStart))) OVER () AS e FROM charges
 WHERE {USAGE} AND {M} = (SELECT MAX({M}) FROM charges WHERE {USAGE}) GROUP BY 1)""")
@@ -358,7 +358,7 @@ e3 AS (SELECT *, cost - expected AS residual, median(cost - expected) OVER (PART
 e4 AS (SELECT *, median(ABS(residual - mr)) OVER (PARTITION BY k) AS mad,
   COALESCE(NULLIF(stddev_samp(residual) OVER (PARTITION BY k), 0), 1) AS sd FROM e3),
 e5 AS (SELECT *, {factor} * residual / ({scale}) AS score,
-  CASE WHEN ABS(expected) > 1e-9 THEN 100.0 * residual / expected ELSE 0 END AS deviation_pct FROM e4),
+  CASE WHEN ABS(expected) > 1e-9 THEN residual / expected * 100.0 ELSE 0 END AS deviation_pct FROM e4),
 e6 AS (SELECT *, n >= 10 AND ABS(score) > {threshold} AND ABS(deviation_pct) >= {min_pct} AND cost >= {min_cost} AS is_anomaly FROM e5),
 dt AS (SELECT *, CASE WHEN NOT is_anomaly THEN 'good' WHEN ABS(deviation_pct) > 100 THEN 'critical'
   WHEN ABS(deviation_pct) > 50 THEN 'serious' WHEN ABS(deviation_pct) > 25 THEN 'warning' ELSE 'good' END AS severity FROM e6)"""
@@ -379,7 +379,7 @@ add("D04_mad", f"SELECT period, k AS event_type, {R('expected')} AS expected, {R
 add("D05_dual_test", "SELECT period, k AS event_type, is_anomaly FROM dt", EVENTS, DETECT("ev", threshold=2.5, min_pct=20, min_cost=100))
 add("D06_severity", "SELECT k AS event_type, severity, COUNT(*) AS points FROM dt GROUP BY 1, 2", EVENTS, DETECT("ev", threshold=2.0))
 add("D07_warm_up", """SELECT k AS event_type, COUNT(*) FILTER (WHERE is_anomaly) AS flagged, COUNT(*) FILTER (WHERE score <> 0) AS scored
-FROM dt GROUP BY 1""", EVENTS, "sv AS (SELECT * FROM ev WHERE k <> 'error' OR day(period) <= 9)", DETECT("sv", threshold=1.0))
+FROM dt GROUP BY 1""", EVENTS, "sv AS (SELECT * FROM ev UNION ALL SELECT period, 'short', cost FROM ev WHERE k = 'error' AND day(period) <= 9)", DETECT("sv", threshold=1.0))
 add("D08_detect", f"SELECT period, k AS event_type, {FULL.replace('cost,', R('cost') + ' AS cost,', 1)} FROM dt", EVENTS, DETECT("ev"))
 _LABEL = "'rolling_median_mad (stl unavailable)' AS method"
 add("D09_detect_by_dimension", f"SELECT period, k AS ServiceCategory, {FULL.replace('cost,', R('cost') + ' AS cost,', 1)}, {_LABEL} FROM dt WHERE is_anomaly",
@@ -387,8 +387,8 @@ add("D09_detect_by_dimension", f"SELECT period, k AS ServiceCategory, {FULL.repl
 add("D10_summarise", f"""SELECT period, k AS dimension, {R('cost')} AS value, {R('expected')} AS expected, {R('residual')} AS deviation_abs,
 {R('deviation_pct')} AS deviation_pct, {R('score')} AS score, severity, {R('ABS(score)')} AS score_abs FROM dt WHERE is_anomaly""",
     DAILY("ProviderName"), DETECT("dl", threshold=2.5))
-add("D11_report", f"""SELECT period, k AS ServiceName, {FULL.replace('cost,', R('cost') + ' AS cost,', 1)}, {_LABEL} FROM dt WHERE is_anomaly
-ORDER BY dt.deviation_pct DESC, period, k LIMIT 10""", DAILY("ServiceName"), DETECT("dl"))
+add("D11_report", f"""SELECT period, k AS ServiceName, {FULL.replace('cost,', R('cost') + ' AS cost,', 1)}, {_LABEL} FROM dt WHERE is_anomaly""",
+    DAILY("ServiceName"), DETECT("dl"))
 
 # --- forecasts ----------------------------------------------------------------------------------------------
 HIST = f"""h AS (SELECT *, row_number() OVER (PARTITION BY p, s ORDER BY period) - 1 AS t, COUNT(*) OVER (PARTITION BY p, s) AS n FROM (
@@ -514,6 +514,8 @@ LABEL = "string_agg(DISTINCT ProviderName, ', ' ORDER BY ProviderName)"
 EC = D("SUM(EffectiveCost)")
 NR = "COUNT(DISTINCT ResourceId)"
 RUNNING = f"tag_environment IN ('nonprod','dev','test','staging') AND ServiceCategory = 'Compute' AND {USAGE} AND ConsumedQuantity > 0"
+#: Half a cent goes up, as in the decimal reading of a double.
+CENTS = "CAST(ROUND(CAST(v AS DECIMAL(28,9)), 2) AS DOUBLE)"
 OPPS = f"""nm AS (SELECT CAST(COUNT(DISTINCT {M}) AS DOUBLE) AS nm FROM charges),
 prof(cloud, crate, clever, spot, arm, tier) AS (VALUES ('AWS', 0.31::DOUBLE, 'R1', 0.72::DOUBLE, 'R14', 'U12'), ('Azure', 0.34, 'R5', 0.68, 'R15', 'U13'),
   ('GCP', 0.28, 'R7', 0.75, 'R16', 'U14'), ('OCI', 0.25, 'R17', 0.50, 'R18', 'U21')),
@@ -553,7 +555,7 @@ UNION ALL SELECT 'O10', ANY_VALUE(tier), cloud, cloud || ' prod storage (cold-ti
 UNION ALL SELECT 'O11', lv, label, 'AI/ML spend growing ' || format('{{:.0f}}', g * 100) || '%/mo -- ' || (SELECT lever_name FROM lev WHERE lever_id = lv), recent * rt, 0.45, 0, NULL
   FROM ai, ail, (VALUES ('G3', 0.20::DOUBLE), ('G4', 0.12), ('G9', 0.08)) x(lv, rt) WHERE n >= 3 AND g > 0.15 AND recent > 0 AND (lv <> 'G9' OR contains(label, 'AWS'))
 UNION ALL SELECT 'O12', 'U18', {LABEL}, 'Untagged / unallocated spend', 0.0, 0.9, 0, {EC} FROM charges WHERE {USAGE} AND tag_application = 'Unallocated' HAVING SUM(EffectiveCost) <> 0),
-opps AS (SELECT det, lever_id, lever_name, category, cloud, scope, ROUND(v, 2) AS monthly_savings, ROUND(ROUND(v, 2) * 12, 2) AS annual_savings, effort, risk,
+opps AS (SELECT det, lever_id, lever_name, category, cloud, scope, {CENTS} AS monthly_savings, ROUND({CENTS} * 12, 2) AS annual_savings, effort, risk,
   time_to_value, confidence, CAST(resource_count AS BIGINT) AS resource_count, spend FROM raw JOIN lev USING (lever_id) WHERE v >= 50 OR det = 'O12')"""
 OC = "lever_id, lever_name, category, cloud, scope, monthly_savings, annual_savings, effort, risk, time_to_value, confidence, resource_count"
 for _id, _slug in {"O01": "commitment_gap", "O02": "commitment_waste", "O03": "idle", "O04": "gp2_volumes", "O05": "previous_generation",
@@ -594,8 +596,7 @@ def TOT(listed: str, billed: str, cost: str = "EffectiveCost") -> str:
 add("V01_aws_cost_explorer", f"""SELECT CASE WHEN ServiceCategory IN ('Compute','Storage','Databases','Analytics','AI and Machine Learning')
 THEN ServiceCategory ELSE 'Other' END AS ServiceCategory, 'EUR' AS BillingCurrency, {M} AS period, {TOT('ListCost', 'ListCost')} FROM charges GROUP BY ALL""")
 add("V02_azure_query", f"""SELECT CASE WHEN ServiceCategory IN ('Compute','Storage','Security') THEN ServiceCategory ELSE 'Other' END AS ServiceCategory,
-ChargePeriodStart AS day, tag_application AS resource_group, {TOT('EffectiveCost', 'EffectiveCost')} FROM charges
-WHERE ChargePeriodStart < DATE '2000-10-01' GROUP BY ALL""")
+ChargePeriodStart AS day, tag_application AS resource_group, {TOT('EffectiveCost', 'EffectiveCost')} FROM charges GROUP BY ALL""")
 add("V03_gcp_detailed", f"""SELECT CASE WHEN ServiceCategory IN ('Compute','Analytics','Networking') THEN ServiceCategory ELSE 'Other' END AS ServiceCategory,
 tag_application, COALESCE(RegionId, '') AS RegionId, {TOT('ListCost', 'ListCost')} FROM charges GROUP BY ALL""")
 add("V04_cloudability", f"""SELECT ProviderName, ServiceName, COALESCE(RegionId, '') AS RegionId,
@@ -609,7 +610,7 @@ add("V07_flexera", f"SELECT upper(ProviderName) AS ProviderName, COALESCE(SubAcc
 add("V08_flat_vendors", f"""SELECT CASE ProviderName WHEN 'AWS' THEN 'Vantage' WHEN 'Azure' THEN 'CloudZero' WHEN 'GCP' THEN 'nOps' WHEN 'OCI' THEN 'Harness'
 ELSE 'ServiceNow' END AS InvoiceIssuerName, CASE ProviderName WHEN 'GCP' THEN 'AWS' WHEN 'OCI' THEN '' ELSE upper(ProviderName) END AS ProviderName,
 CASE ProviderName WHEN 'Azure' THEN 'Unknown' ELSE ServiceName END AS ServiceName, ServiceName AS ChargeDescription,
-CASE ProviderName WHEN 'OCI' THEN DATE '1999-10-01' ELSE {M} END AS period, {TOT('EffectiveCost', 'EffectiveCost')} FROM charges GROUP BY ALL""")
+CASE ProviderName WHEN 'OCI' THEN DATE '1995-01-01' ELSE {M} END AS period, {TOT('EffectiveCost', 'EffectiveCost')} FROM charges GROUP BY ALL""")
 add("V09_kubecost", f"""SELECT CASE WHEN ConsumedQuantity = 0 THEN 'Idle' ELSE 'Namespace' END AS ResourceType,
 CASE WHEN ConsumedQuantity = 0 THEN '__idle__' ELSE COALESCE(ResourceId, 'unnamed') END AS ResourceId, ConsumedQuantity = 0 AS idle,
 {TOT('EffectiveCost', 'EffectiveCost')} FROM charges GROUP BY ALL""")

@@ -128,13 +128,25 @@ def run_rate_table(charges: DataFrame) -> DataFrame:
 def budget_from_history(charges: DataFrame, uplift: float = 0.06) -> DataFrame:
     """First-year monthly mean per cloud and application, grown by `uplift` a year.
 
-    Groups without a first year take their own actual as base. The first month of the estate
-    is a scalar subquery over two columns; the means are windows inside each group.
     """
-    rows = actuals(charges).filter(F.col("ProviderName").isNotNull() & F.col("tag_application").isNotNull())
-    first = rows.agg(F.min("period")).scalar()
-    actual = (rows.groupBy("period", F.col("ProviderName").alias("cloud"), F.col("tag_application").alias("application"))
-              .agg(F.sum(COST).cast("double").alias("actual")).withColumn("first", first))
+    return budget_from_report(monthly_report(charges), uplift)
+
+
+def monthly_report(charges: DataFrame) -> DataFrame:
+    """(period, cloud, application, actual): what every budget question is asked of, one pass over the charges."""
+    return (actuals(charges).groupBy("period", F.col("ProviderName").alias("cloud"), F.col("tag_application").alias("application"))
+            .agg(F.sum(COST).cast("double").alias("actual")))
+
+
+def budget_from_report(report: DataFrame, uplift: float = 0.06) -> DataFrame:
+    """As `budget_from_history`, from the monthly report.
+
+    Groups without a first year take their own actual as base; groups without a cloud or an application have no budget. The
+    first month of the estate is a scalar of the report; the means are windows inside each group.
+    """
+    actual = report.filter(F.col("cloud").isNotNull() & F.col("application").isNotNull())
+    first = actual.agg(F.struct(F.min("period").alias("first"), F.sum("actual"))).scalar()["first"]
+    actual = actual.withColumn("first", first)
     group = Window.partitionBy("cloud", "application")
     base = F.avg(F.when(F.col("period") <= F.add_months("first", 11), F.col("actual"))).over(group)
     years = F.datediff("period", "first") / 30.44 / 12.0

@@ -96,16 +96,23 @@ def normalize(df: DataFrame) -> DataFrame:
     return tolerant_cast(conform(rename_aliases(df)))
 
 
-def fill_if_all_null(df: DataFrame, column: str, value: str, raw: DataFrame | None = None) -> DataFrame:
-    """`value` where the *whole* column is null; a partly filled column stays untouched.
+def fill_all_null(df: DataFrame, values: dict[str, str], raw: DataFrame | None = None) -> DataFrame:
+    """Each column's value where the *whole* column is null; partly filled columns stay untouched.
 
-    `raw` is the frame before `normalize`: when it lacks the column no check is needed.
-    Otherwise the check is a scalar subquery over that one column.
+    `raw` is the frame before `normalize`: columns it lacks need no check. All others are asked in one scalar
+    subquery over just those columns.
     """
-    if raw is not None and column not in rename_aliases(raw).columns:
-        return df.withColumn(column, F.lit(value))
-    nothing = df.agg((F.count(column) == 0).alias("nothing")).scalar()
-    return df.withColumn(column, F.when(nothing, F.lit(value)).otherwise(F.col(column)))
+    have = set(rename_aliases(raw).columns) if raw is not None else set(df.columns)
+    asked = [c for c in values if c in have]
+    out = df.withColumns({c: F.lit(v) for c, v in values.items() if c not in have})
+    if not asked:
+        return out
+    absent = df.agg(F.struct(*[(F.count(c) == 0).alias(c) for c in asked]).alias("absent")).scalar()
+    return out.withColumns({c: F.when(absent[c], F.lit(values[c])).otherwise(F.col(c)) for c in asked})
+
+
+def fill_if_all_null(df: DataFrame, column: str, value: str, raw: DataFrame | None = None) -> DataFrame:
+    return fill_all_null(df, {column: value}, raw)
 
 
 def stamp_issuer(df: DataFrame, vendor: str, raw: DataFrame | None = None) -> DataFrame:

@@ -63,26 +63,28 @@ def trailing_start(as_of: dt.date, months: int) -> dt.date:
     return (as_of.replace(day=1) - dt.timedelta(days=31 * months)).replace(day=1)
 
 
-def trailing_breakdown(charges: DataFrame, by: str, months: int, as_of: dt.date, top: int = 20) -> DataFrame:
-    """Largest `top` values of a dimension over the trailing months, with the overall total."""
+def trailing_breakdown(charges: DataFrame, by: str, months: int, as_of: dt.date, top: int | None = None) -> DataFrame:
+    """Values of a dimension over the trailing months (the `top` largest, if given), with the overall total."""
     column = dimension(by)
     rows = charges.filter(F.col("ChargePeriodStart") >= F.lit(trailing_start(as_of, months)))
     totals = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.sum(COST).alias("c"))
     out = totals.select(column, F.col("c").cast("double").alias("cost"),
-                        F.sum("c").over(Window.partitionBy()).cast("double").alias("total_usd"))
-    return out.orderBy(F.desc("cost"), column).limit(top)
+                        totals.agg(F.sum("c").cast("double")).scalar().alias("total_usd"))
+    return out if top is None else out.orderBy(F.desc("cost"), column).limit(top)
 
 
-def fold_tail(totals: DataFrame, label: str, value: str = "cost", limit: int = 8) -> DataFrame:
-    """Keep the `limit` - 1 largest labels and fold the rest into `Other`.
+def fold_tail(totals: DataFrame, label: str, limit: int, value: str = "cost") -> DataFrame:
+    """Keep the `limit` - 1 largest labels and fold the rest into `Other`; nothing is lost.
 
-    With at most `limit` labels the input comes back unchanged. `totals` has one row per label.
+    With at most `limit` labels the input comes back unchanged. `totals` has one row per label. The labels kept are an
+    ordered limit, joined back by label, so labels are never ranked in one task.
     """
-    ranked = (totals.filter(F.col(label).isNotNull())
-              .withColumn("_rn", F.row_number().over(Window.partitionBy().orderBy(F.desc(value), label)))
-              .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy())))
-    keep = (F.col("_rn") < limit) | (F.col("_n") <= limit)
-    return (ranked.groupBy(F.when(keep, F.col(label)).otherwise(OTHER).alias(label), (~keep).alias("folded"))
+    known = totals.filter(F.col(label).isNotNull())
+    most = known.orderBy(F.desc(value), label).limit(limit - 1).select(F.col(label).alias("_kept"))
+    marked = known.join(most, F.col(label) == F.col("_kept"), "left")
+    few = known.agg(F.struct((F.count(F.lit(1)) <= limit).alias("few"), F.sum(value))).scalar()["few"]
+    keep = F.col("_kept").isNotNull() | few
+    return (marked.groupBy(F.when(keep, F.col(label)).otherwise(OTHER).alias(label), (~keep).alias("folded"))
             .agg(F.sum(value).alias(value)))
 
 
@@ -91,34 +93,34 @@ def totals_by(charges: DataFrame, by: str, cost: str = COST) -> DataFrame:
     return charges.groupBy(dimension(by)).agg(F.sum(cost).alias("cost"))
 
 
-def dense_matrix(charges: DataFrame, by: str, limit: int = 8, cost: str = COST) -> DataFrame:
-    """Largest labels x every month of the estate, missing cells 0, in long form.
+def dense_matrix(charges: DataFrame, by: str, top: int | None = None, cost: str = COST) -> DataFrame:
+    """Every label (the `top` largest, if given) x every month of the estate, missing cells 0, in long form.
 
-    Each label row expands by the estate's month list, so no two tables are crossed. Months
+    Each label row expands by the estate's month list, a scalar, so no two tables are crossed. Months
     and labels come from one monthly report.
     """
     column = dimension(by)
     report = charges.groupBy(month().alias("month"), column).agg(F.sum(cost).alias("cost"))
-    estate = Window.partitionBy()
-    cells = (report.withColumn("months", F.collect_set("month").over(estate))
-             .filter(F.col(column).isNotNull())
-             .groupBy(column, "months")
-             .agg(F.sum("cost").alias("total"),
-                  F.map_from_entries(F.collect_list(F.struct("month", F.col("cost").cast("double")))).alias("cells")))
-    ranked = (cells.withColumn("rn", F.row_number().over(estate.orderBy(F.desc("total"), column)))
-              .withColumn("n", F.count(F.lit(1)).over(estate))
-              .filter((F.col("rn") < limit) | (F.col("n") <= limit)))
-    return (ranked.select(column, "cells", F.explode("months").alias("month"))
+    months = report.agg(F.collect_set("month")).scalar()
+    cells = report.filter(F.col(column).isNotNull()).groupBy(column).agg(
+        F.sum("cost").alias("total"),
+        F.map_from_entries(F.collect_list(F.struct("month", F.col("cost").cast("double")))).alias("cells"))
+    if top is not None:
+        cells = cells.orderBy(F.desc("total"), column).limit(top)
+    return (cells.select(column, "cells", F.explode(months).alias("month"))
             .select(column, "month", F.coalesce(F.try_element_at("cells", F.col("month")), F.lit(0.0)).alias("cost")))
 
 
 def hierarchy(charges: DataFrame, level1: str, level2: str, cost: str = COST) -> DataFrame:
-    """Root, level 1 and level 2 totals. Rows are summed per leaf before the rollup expands."""
+    """Root, level 1 and level 2 totals. Rows are summed per leaf before the rollup expands.
+
+    A row without a level has no node there but counts in the ones above it.
+    """
     one, two = dimension(level1), dimension(level2)
-    leaves = (charges.groupBy(one, two).agg(F.sum(cost).alias("c"))
-              .filter(F.col(one).isNotNull() & F.col(two).isNotNull()))
+    leaves = charges.groupBy(one, two).agg(F.sum(cost).alias("c"))
     return (leaves.rollup(one, two).agg(F.sum("c").cast("double").alias("cost"),
                                         F.grouping_id().alias("g"))
+            .filter((F.col("g") > 1) | (F.col(one).isNotNull() & ((F.col("g") == 1) | F.col(two).isNotNull())))
             .select(F.when(F.col("g") == 0, 2).when(F.col("g") == 1, 1).otherwise(0).alias("level"),
                     F.col(one).alias("level1"), F.col(two).alias("level2"), "cost"))
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,6 +18,8 @@ from spendframe.plans import sinks
 from spendframe.sources import warehouse
 
 LOOKBACK_MONTHS = 2
+#: Bindings read at the same time.
+AT_ONCE = 4
 
 #: A binding's feed for `[start, end)`.
 Feed = Callable[[SparkSession, dt.date, dt.date], DataFrame]
@@ -44,37 +47,43 @@ def prepare(feed: DataFrame, binding: str, ingested_at: dt.datetime) -> DataFram
     return sinks.typed(rows.withColumn("_ingested_at", F.lit(ingested_at)).withColumn("_binding", F.lit(binding)))
 
 
-def union_feeds(feeds: dict[str, DataFrame], ingested_at: dt.datetime) -> DataFrame:
-    return reduce(DataFrame.unionByName, [prepare(df, name, ingested_at) for name, df in feeds.items()])
-
-
-def reasons(rows: DataFrame) -> DataFrame:
-    """Up to five findings per binding.
+def reasons(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """The findings of each binding as text, all or the first `most`.
 
     Findings are per rule and month, so the list per binding is short whatever the row count.
     """
     found = validate.issues(rows.withColumn("month", month()), ["_binding", "month"]).filter("severity = 'error'")
     text = F.concat_ws(" ", F.col("month").cast("string"), "rule", "column", F.col("n").cast("string"))
-    return found.groupBy("_binding").agg(F.array_join(F.slice(F.array_sort(F.collect_set(text)), 1, 5), "; ").alias("reason"))
+    listed = F.array_sort(F.collect_set(text))
+    return found.groupBy("_binding").agg(F.array_join(listed if most is None else F.slice(listed, 1, most), "; ").alias("reason"))
+
+
+def _landed(spark: SparkSession, name: str, feed: Feed, folder: str, start: dt.date, end: dt.date, now: dt.datetime) -> str | None:
+    """Read one binding and write its landing files; the reason if that fails, whenever it does."""
+    try:
+        sinks.write_landing(prepare(feed(spark, start, end), name, now), folder)
+    except (PySparkException, Py4JError, OSError, ValueError) as error:
+        return (str(error).splitlines() or [type(error).__name__])[0]
+    return None
 
 
 def ingest(spark: SparkSession, bindings: dict[str, Feed], landing: str, target: str, start: dt.date, end: dt.date,
            now: dt.datetime) -> list[BindingResult]:
-    """Read, land, validate and load all bindings as one job; a bad one contributes nothing.
+    """Read, land, validate and load all bindings; a bad one contributes nothing and stops no other.
 
-    The landed files are what is validated and loaded, so sources are read once.
+    Each binding lands in a folder of its own, a few at a time, so one that fails while it is read fails alone. The landed
+    files are what is validated and loaded, so sources are read once.
     """
-    feeds, results = {}, []
-    for name, feed in bindings.items():
-        try:
-            feeds[name] = feed(spark, start, end)
-        except (PySparkException, OSError, ValueError) as error:
-            results.append(BindingResult(name, "failed", reason=str(error).splitlines()[0]))
+    run = f"{landing}/dt={now.date().isoformat()}/run={uuid.uuid4().hex[:12]}"
+    folders = {name: f"{run}/{i:05d}" for i, name in enumerate(bindings)}
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        errors = dict(zip(bindings, pool.map(
+            lambda name: _landed(spark, name, bindings[name], folders[name], start, end, now), bindings)))
+    results = [BindingResult(name, "failed", reason=reason) for name, reason in errors.items() if reason is not None]
+    feeds = [name for name, reason in errors.items() if reason is None]
     if not feeds:
         return results
-    folder = f"{landing}/dt={now.date().isoformat()}/run={uuid.uuid4().hex[:12]}"
-    sinks.write_landing(union_feeds(feeds, now), folder)
-    landed = sinks.read_landing(spark, folder)
+    landed = sinks.read_landing(spark, [folders[name] for name in feeds])
     # One row per binding and month: the configured list bounds what reaches the driver.
     counts: dict[str, int] = {}
     bad: dict[str, str] = {}
@@ -83,7 +92,7 @@ def ingest(spark: SparkSession, bindings: dict[str, Feed], landing: str, target:
         if not r["ok"]:
             bad[r["_binding"]] = ""
     if bad:  # only the failing bindings' files are read again
-        failed = landed.filter(F.col("_binding").isin(list(bad)))
+        failed = sinks.read_landing(spark, [folders[name] for name in bad])
         bad = {r["_binding"]: r["reason"] for r in reasons(failed).collect()}
     for name in feeds:
         if name in bad:
@@ -92,7 +101,7 @@ def ingest(spark: SparkSession, bindings: dict[str, Feed], landing: str, target:
             results.append(BindingResult(name, "loaded" if name in counts else "empty", counts.get(name, 0)))
     loaded = [r.binding for r in results if r.status == "loaded"]
     if loaded:
-        sinks.replace_charges(spark, landed.filter(F.col("_binding").isin(loaded)), target)
+        sinks.replace_charges(spark, sinks.read_landing(spark, [folders[name] for name in loaded]), target)
     return results
 
 

@@ -12,7 +12,7 @@ from spendframe.operators import budget as bu, normalize as nz
 from spendframe.plans.queries import on_charges
 from spendframe.sources import payloads as pl
 
-START, END = dt.date(1999, 10, 1), dt.date(2001, 10, 1)
+START, END = dt.date(1995, 1, 1), dt.date(2002, 1, 1)
 TODAY = dt.date(2001, 9, 30)
 
 
@@ -61,12 +61,13 @@ def aws(c: DataFrame) -> DataFrame:
 
 def azure(c: DataFrame) -> DataFrame:
     service = _by_category({"Compute": "Virtual Machines", "Storage": "Azure Backup", "Security": "Key Vault"}, "Unlisted")
-    names = F.array(*[F.struct(F.lit(n).alias("name")) for n in ("Cost", "Currency", "ServiceName", "ResourceGroup", "UsageDate")])
-    row = F.array(_text(COST), F.lit("USD"), service, F.col("tag_application"), F.date_format("ChargePeriodStart", "yyyyMMdd"))
+    names = F.array(*[F.struct(F.lit(n).alias("name")) for n in ("Cost", "UsageDate", "ServiceName", "ResourceGroup", "Currency")])
+    row = F.array(_text(COST), F.date_format("ChargePeriodStart", "yyyyMMdd"), service, F.col("tag_application"), F.lit("USD"))
+    row = F.when(F.col("charge_key") % 3 == 0, F.slice(row, 1, 4)).when(F.col("charge_key") % 3 == 1, F.array_append(row, F.lit("more"))).otherwise(row)
     docs = documents(c, pl.SCHEMAS["azure_query"], properties=F.struct(names.alias("columns"), F.array(row).alias("rows")))
     out = pl.azure_query(docs, START, END, "sub-1").withColumns({
         "day": F.col("ChargePeriodStart").cast("date"), "resource_group": F.try_element_at("Tags", F.lit("resource_group"))})
-    return totals(out.filter("day < '2000-10-01'"), "ServiceCategory", "day", "resource_group")
+    return totals(out, "ServiceCategory", "day", "resource_group")
 
 
 def gcp(c: DataFrame) -> DataFrame:

@@ -204,10 +204,10 @@ def _(spark, sf):
 
 
 on_charges("P10_trailing_breakdown", lambda c: ru.trailing_breakdown(c, "service", 12, AS_OF))
-on_charges("P11_top_and_other", lambda c: ru.fold_tail(ru.totals_by(c, "application"), "tag_application").withColumn(
+on_charges("P11_top_and_other", lambda c: ru.fold_tail(ru.totals_by(c, "application"), "tag_application", 8).withColumn(
     "cost", F.col("cost").cast("double")))
-on_charges("P12_dense_matrix", lambda c: ru.dense_matrix(c, "application", 6))
-on_charges("P13_hierarchy", lambda c: ru.hierarchy(c, "cloud", "application"))
+on_charges("P12_dense_matrix", lambda c: ru.dense_matrix(c, "application"))
+on_charges("P13_hierarchy", lambda c: ru.hierarchy(c, "cloud", "region"))
 on_charges("P14_drill_down", lambda c: ru.drill_down(c, "application", "app-3"))
 on_charges("P15_label_parts", lambda c: ru.label_parts(op.detect(c)))
 
@@ -315,11 +315,11 @@ on_charges("L16_tag_limits", al.tag_limit_violations)
 # --- budget -------------------------------------------------------------------------------------------
 def _variance(by: list[str]) -> Callable[[DataFrame], DataFrame]:
     def run(c: DataFrame) -> DataFrame:
-        # A budget for a month without actuals and one without a budget are both planted.
-        budgets = bu.budget_from_history(c).filter(F.month("period") != 2)
+        # Planted beside the whole table: budgets of an application without actuals.
+        budgets = bu.budget_from_history(c)
         budgets = budgets.union(budgets.filter("application = 'app-1' and month(period) = 6").withColumn(
             "application", F.lit("app-new")))
-        return r6(r2(bu.variance_table(c, budgets, by), "actual", "budget", "variance_abs"), "variance_pct")
+        return r6(r2(bu.variance_table(c, budgets, by), "budget", "variance_abs"), "actual", "variance_pct")
     return run
 
 
@@ -346,8 +346,7 @@ def _(spark, sf):
     return r6(r2(out, "projected_spend", "annual_budget", "variance_abs"), "variance_pct")
 
 
-on_charges("B05_burn_down", lambda c: r6(r2(bu.burn_down(
-    c, bu.budget_from_history(c).filter("period >= '2000-01-01'")), "cumulative_actual", "cumulative_budget"), "pace"))
+on_charges("B05_burn_down", lambda c: r6(r2(bu.burn_down(c, bu.budget_from_history(c)), "cumulative_actual", "cumulative_budget"), "pace"))
 on_charges("B06_run_rate_table", lambda c: r2(bu.run_rate_table(c)))
 on_charges("B07_budget_from_history", lambda c: r2(bu.budget_from_history(c)))
 
@@ -367,14 +366,15 @@ QUERIES["D05_dual_test"] = _events(lambda s: an.detect(s, EV, threshold=2.5, min
                                    .select("period", *EV, "is_anomaly"))
 QUERIES["D06_severity"] = _events(lambda s: an.detect(s, EV, threshold=2.0).groupBy(*EV, "severity").agg(
     F.count(F.lit(1)).alias("points")))
-QUERIES["D07_warm_up"] = _events(lambda s: an.detect(
-    s.filter((F.col("event_type") != "error") | (F.dayofmonth("period") <= 9)), EV, threshold=1.0)
+#: A series too short to score is planted beside the whole table.
+QUERIES["D07_warm_up"] = _events(lambda s: an.detect(s.union(
+    s.filter((F.col("event_type") == "error") & (F.dayofmonth("period") <= 9)).withColumn("event_type", F.lit("short"))), EV, threshold=1.0)
     .groupBy(*EV).agg(F.count_if("is_anomaly").alias("flagged"), F.count_if(F.col("score") != 0).alias("scored")))
 QUERIES["D08_detect"] = _events(lambda s: r6(an.detect(s, EV)))
 on_charges("D09_detect_by_dimension", lambda c: r6(an.detect_by_dimension(c, "ServiceCategory")))
 on_charges("D10_summarise", lambda c: r6(an.summarise(an.detect_by_dimension(c, "ProviderName", threshold=2.5),
                                                       "ProviderName")))
-on_charges("D11_report", lambda c: r6(an.report(an.detect_by_dimension(c, "ServiceName"), "ServiceName", top=10)))
+on_charges("D11_report", lambda c: r6(an.report(an.detect_by_dimension(c, "ServiceName"), "ServiceName")))
 
 
 # --- forecasts over provider x service category -------------------------------------------------------------

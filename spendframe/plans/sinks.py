@@ -1,16 +1,20 @@
-"""Idempotent writes: landing files, partition replacement, snapshots.
+"""Idempotent writes: landing files, window replacement, snapshots.
 
-A replacement writes its files next to the table first, then swaps partition folders. It is
-not a transaction: a reader may see some days swapped and others not, and a run that dies in
-between is repaired by running it again.
+A table is a folder of versions and a folder of numbered manifests. A replacement writes its rows as a new version, then
+creates the next manifest in one rename. The manifest names the versions in order and the windows each of them replaced:
+readers take a version's rows without the windows of later ones. So a reader sees the table before or after a replacement,
+never in between; a run that dies leaves a version that no manifest names; and what the driver does depends on the
+number of bindings, not on days or files.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from spendframe.functions import focus
 
@@ -38,83 +42,133 @@ def laid_out(rows: DataFrame) -> DataFrame:
 
 
 def write_landing(rows: DataFrame, path: str) -> None:
-    """Typed Parquet per binding: columns without a value keep their type."""
-    typed(rows).hint("rebalance", F.col("_binding")).write.partitionBy("_binding").mode("overwrite").parquet(path)
-
-
-def read_landing(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(focus.warehouse_schema()).parquet(path)
-
-
-class _Folders:
-    """Partition folders of a table through the Hadoop file system of its path."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self._jvm = spark._jvm
-        self._root = root
-        self._fs = self.path("").getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def path(self, relative: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self._root}/{relative}" if relative else self._root)
-
-    def relative(self, values: dict[str, str]) -> str:
-        names = self._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-        return "/".join(names.getPartitionPathString(k, v) for k, v in values.items())
-
-    def exists(self, relative: str) -> bool:
-        return self._fs.exists(self.path(relative))
-
-    def delete(self, relative: str) -> None:
-        self._fs.delete(self.path(relative), True)
-
-    def move_in(self, other: "_Folders", relative: str) -> None:
-        target = self.path(relative)
-        self._fs.mkdirs(target.getParent())
-        if not self._fs.rename(other.path(relative), target):
-            raise OSError(f"could not move partition {relative} into {self._root}")
-
-
-def swap_partitions(spark: SparkSession, rows: DataFrame, target: str, by: list[str],
-                    replaced: Callable[[DataFrame], list[dict[str, str]]]) -> None:
-    """Write `rows` by partition, then drop the `replaced` partitions and move the new ones in.
-
-    `replaced` gets the written rows and names the partitions that must go, with or without
-    new rows.
-    """
-    stage = f"{target.rstrip('/')}__stage_{uuid.uuid4().hex[:12]}"
-    rows.write.partitionBy(*by).parquet(stage)
-    written = spark.read.schema(rows.schema).parquet(stage)
-    new = [{k: str(r[k]) for k in by} for r in written.select(*by).distinct().collect()]
-    table, staged = _Folders(spark, target), _Folders(spark, stage)
-    for partition in replaced(written):
-        folder = table.relative(partition)
-        if table.exists(folder):
-            table.delete(folder)
-    for partition in new:
-        table.move_in(staged, table.relative(partition))
-    staged.delete("")
-
-
-def _days(window: Row) -> list[dict[str, str]]:
-    days = (window["hi"] - window["lo"]).days + 1
-    ordinals = range(window["lo"].toordinal(), window["lo"].toordinal() + days)
-    return [{"charge_date": window["lo"].fromordinal(o).isoformat(), "_binding": window["_binding"]} for o in ordinals]
+    """Typed Parquet of one binding: columns without a value keep their type."""
+    typed(rows).write.mode("overwrite").parquet(path)
+
+
+def read_landing(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.schema(focus.warehouse_schema()).parquet(*paths)
+
+
+class Manifests:
+    """The numbered manifests of a table, through the Hadoop file system of its path."""
+
+    def __init__(self, spark: SparkSession, target: str):
+        self._jvm, self.target = spark._jvm, target.rstrip("/")
+        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, relative: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.target}/{relative}" if relative else self.target)
+
+    def latest(self) -> tuple[int, list[dict]]:
+        """Number and versions of the newest manifest; 0 and none before the first."""
+        folder = self._path("_manifests")
+        if not self._fs.exists(folder):
+            return 0, []
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
+        numbers = [int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[:-5].isdigit()]
+        if not numbers:
+            return 0, []
+        stream = self._fs.open(self._path(f"_manifests/{max(numbers):010d}.json"))
+        try:
+            return max(numbers), json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def publish(self, number: int, versions: list[dict]) -> None:
+        """Create manifest `number`, whole or not at all; an error if another writer was first."""
+        draft = self._path(f"_manifests/_draft-{uuid.uuid4().hex}")
+        stream = self._fs.create(draft, False)
+        try:
+            stream.write(json.dumps(versions).encode())
+        finally:
+            stream.close()
+        name = self._path(f"_manifests/{number:010d}.json")
+        if self._fs.exists(name) or not self._fs.rename(draft, name):
+            self._fs.delete(draft, False)
+            raise OSError(f"{self.target} was replaced by another run meanwhile")
+
+    def drop(self, folder: str) -> None:
+        self._fs.delete(self._path(folder), True)
+
+    def folders(self) -> list[str]:
+        return [f.getPath().getName() for f in self._fs.listStatus(self._path("")) if f.getPath().getName().startswith("v-")]
+
+
+def _inside(window: dict, day: str, key: str | None) -> Column:
+    bound = (F.col(day) >= F.lit(window["lo"]).cast("date")) & (F.col(day) <= F.lit(window["hi"]).cast("date"))
+    return bound & F.col(key).eqNullSafe(F.lit(window["key"])) if key else bound
+
+
+def without(rows: DataFrame, windows: list[dict], day: str, key: str | None = None) -> DataFrame:
+    """The rows outside every window. Only partition columns are asked, so whole files are left out."""
+    return reduce(lambda df, w: df.filter(~F.coalesce(_inside(w, day, key), F.lit(False))), windows, rows)
+
+
+def replaced(current: DataFrame, new: DataFrame, windows: list[dict], day: str, key: str | None = None) -> DataFrame:
+    """What a table holds after a replacement: its rows outside the windows, and all new ones."""
+    return without(current, windows, day, key).unionByName(new)
+
+
+def read_table(spark: SparkSession, target: str, schema: StructType | str, day: str, key: str | None = None) -> DataFrame:
+    """The table as of its newest manifest; `schema` includes the partition columns. Without a manifest it is empty."""
+    _, versions = Manifests(spark, target).latest()
+    out = spark.createDataFrame([], schema)
+    parts, later = [], []
+    for version in reversed(versions):
+        parts.append(without(spark.read.schema(schema).parquet(f"{target.rstrip('/')}/{version['folder']}"), later, day, key))
+        later = later + version["windows"]
+    return reduce(DataFrame.unionByName, parts) if parts else out
+
+
+def _covered(version: dict, later: list[dict]) -> bool:
+    """Whether later windows take in all of a version, so that it can be forgotten."""
+    return all(any(w["key"] == v["key"] and w["lo"] <= v["lo"] and v["hi"] <= w["hi"] for w in later) for v in version["windows"])
+
+
+def replace_windows(spark: SparkSession, rows: DataFrame, target: str, by: list[str], day: str, key: str | None = None,
+                    windows: list[dict] | None = None) -> None:
+    """Write `rows` as a version that replaces `windows`: by default each key's first to last new day."""
+    manifests = Manifests(spark, target)
+    folder = f"v-{uuid.uuid4().hex[:12]}"
+    path = f"{manifests.target}/{folder}"
+    try:
+        rows.write.partitionBy(*by).parquet(path)
+        if windows is None:
+            found = spark.read.schema(rows.schema).parquet(path).groupBy(key).agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
+            windows = [{"key": r[key], "lo": str(r["lo"]), "hi": str(r["hi"])} for r in found.collect()]
+        number, versions = manifests.latest()
+        later, kept = list(windows), []
+        for version in reversed(versions):
+            if not _covered(version, later):
+                kept.insert(0, version)
+                later += version["windows"]
+        manifests.publish(number + 1, [*kept, {"folder": folder, "windows": windows}])
+    except BaseException:
+        manifests.drop(folder)
+        raise
+
+
+def vacuum(spark: SparkSession, target: str) -> list[str]:
+    """Delete the versions the newest manifest doesn't name; run it when no reader of an older one is left."""
+    manifests = Manifests(spark, target)
+    named = {v["folder"] for v in manifests.latest()[1]}
+    old = [f for f in manifests.folders() if f not in named]
+    for folder in old:
+        manifests.drop(folder)
+    return old
 
 
 def replace_charges(spark: SparkSession, rows: DataFrame, target: str) -> None:
     """Replace each binding's days from its first to its last new charge day.
 
     Days the feed no longer has disappear as well. The range is per binding, so a binding with
-    a shorter feed keeps its older days. Only partition values (days x bindings) reach the
-    driver.
+    a shorter feed keeps its older days. One row per binding reaches the driver.
     """
-    def covered(written: DataFrame) -> list[dict[str, str]]:
-        windows = written.groupBy("_binding").agg(F.min("charge_date").alias("lo"), F.max("charge_date").alias("hi"))
-        return [p for window in windows.collect() for p in _days(window)]
-
-    swap_partitions(spark, laid_out(typed(rows)), target, PARTITIONS, covered)
+    replace_windows(spark, laid_out(typed(rows)), target, PARTITIONS, "charge_date", "_binding")
 
 
 def replace_snapshot(spark: SparkSession, rows: DataFrame, target: str, as_of) -> None:
     """Replace one `as_of`; without rows the day is emptied and readers see the one before."""
-    swap_partitions(spark, rows.coalesce(1), target, ["as_of"], lambda _: [{"as_of": as_of.isoformat()}])
+    day = {"key": None, "lo": as_of.isoformat(), "hi": as_of.isoformat()}
+    replace_windows(spark, rows.coalesce(1), target, ["as_of"], "as_of", None, [day])

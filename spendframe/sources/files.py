@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import datetime as dt
+import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -23,42 +26,113 @@ def file_format(path: str, explicit: str | None = None) -> str:
 
 def read_raw(spark: SparkSession, path: str | list[str], fmt: str | None = None) -> DataFrame:
     """The feed as it is. CSV stays text (no inference pass); types come with `normalize`."""
-    first = path if isinstance(path, str) else path[0]
-    fmt = file_format(first, fmt)
-    if fmt == "parquet":
-        return spark.read.option("mergeSchema", True).parquet(*([path] if isinstance(path, str) else path))
-    return spark.read.option("header", True).option("multiLine", False).csv(path)
+    paths = [path] if isinstance(path, str) else path
+    if file_format(paths[0], fmt) == "parquet":
+        return spark.read.option("mergeSchema", True).parquet(*paths)
+    return csv_by_name(spark, paths)
+
+
+def _data_files(spark: SparkSession, glob: str) -> list[str]:
+    """The files a path or glob stands for, folders included; hidden ones are left out."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out, waiting = [], list(system.globStatus(path) or [])
+    while waiting:
+        status = waiting.pop()
+        if status.getPath().getName().startswith(("_", ".")):
+            continue
+        if status.isDirectory():
+            waiting += list(system.listStatus(status.getPath()))
+        elif status.getLen():
+            out.append(status.getPath().toString())
+    return sorted(out)
+
+
+def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """The column names in a file's first line; nothing beyond its first block is read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        text = jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8")
+        line = jvm.java.io.BufferedReader(text).readLine()
+    finally:
+        stream.close()
+    return tuple(next(csv.reader([(line or "").lstrip("\ufeff")]), []))
+
+
+def csv_by_name(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """CSV files with columns matched by name: one read for each distinct header, then a union by name.
+
+    A file that lacks a column has nulls in it. Spark checks every file against its header, so columns can't be
+    taken by position. A gzipped file is one task; uncompressed ones are split.
+    """
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file in [f for path in paths for f in _data_files(spark, path)]:
+        groups.setdefault(_header(spark, file), []).append(file)
+    if not groups:
+        raise FileNotFoundError(f"no files under {', '.join(paths)}")
+    reader = spark.read.option("header", True).option("multiLine", False).option("enforceSchema", False)
+    parts = [reader.schema(", ".join(f"`{name}` string" for name in header)).csv(found) for header, found in groups.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def date_range(df: DataFrame, start: dt.date, end: dt.date, guard: bool = True) -> DataFrame:
-    """Half-open `[start, end)` on the charge-period start.
+    """Half-open `[start, end)` on the charge-period start; the bound can be pushed to the scan.
 
     With `guard`, a feed without a single readable date passes whole, so validation reports it
-    instead of it vanishing. The check is a scalar subquery over that column.
+    instead of it vanishing. Finding that out stops at the first readable date.
     """
     period = F.col("ChargePeriodStart")
-    inside = (period >= F.lit(start)) & (period < F.lit(end))
-    if not guard:
-        return df.filter(inside)
-    readable = df.agg((F.count("ChargePeriodStart") > 0).alias("readable")).scalar()
-    return df.filter(F.coalesce(inside, F.lit(False)) | ~readable)
+    if guard and not df.select(period.alias("p")).filter("p is not null").take(1):
+        return df
+    return df.filter((period >= F.lit(start)) & (period < F.lit(end)))
+
+
+def bounded(raw: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """The typed dates of a raw feed bound before anything else; text dates wait for the cast."""
+    kinds = dict(raw.dtypes)
+    if kinds.get("ChargePeriodStart", "string") in ("date", "timestamp", "timestamp_ntz"):
+        return date_range(raw, start, end, guard=False)
+    return raw
+
+
+_PERIOD = re.compile(r"=(\d{4})-(\d{2})(?:-\d{2})?$")
+
+
+def period_folders(spark: SparkSession, root: str, start: dt.date, end: dt.date) -> list[str] | None:
+    """The billing-period folders (`name=YYYY-MM`) of the window; None for an export without any."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*=*")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    months = {f.getPath().toString(): _PERIOD.search(f.getPath().getName()) for f in found if f.isDirectory()}
+    if not months or not all(months.values()):
+        return None
+    low, high = start.year * 12 + start.month, (end - dt.timedelta(days=1)).year * 12 + (end - dt.timedelta(days=1)).month
+    return sorted(f for f, m in months.items() if low <= int(m[1]) * 12 + int(m[2]) <= high)
 
 
 def focus_file(spark: SparkSession, path: str, start: dt.date, end: dt.date, vendor: str = "FOCUS file",
                fmt: str | None = None) -> DataFrame:
     """A canonical export in one file or folder."""
     raw = read_raw(spark, path, fmt)
-    return date_range(nz.stamp_issuer(nz.normalize(raw), vendor, raw), start, end)
+    return nz.stamp_issuer(date_range(nz.normalize(raw), start, end), vendor, raw)
 
 
 def cloud_export(spark: SparkSession, path: str, start: dt.date, end: dt.date, provider: str, vendor: str,
                  fmt: str | None = None) -> DataFrame:
-    """A cloud's own export: `x_*` extensions dropped, provider filled in when wholly absent."""
-    raw = read_raw(spark, path, fmt)
-    raw = raw.drop(*[c for c in raw.columns if c.lower().startswith("x_")])
-    out = nz.stamp_issuer(nz.normalize(raw), vendor, raw)
-    out = nz.fill_if_all_null(out, "ProviderName", provider, raw)
-    return date_range(out, start, end, guard=False)
+    """A cloud's own export: `x_*` extensions dropped, provider filled in when wholly absent.
+
+    Only the window's billing-period folders are listed, and typed dates are bound at the scan. Whether
+    issuer and provider are absent is one question to the bounded rows.
+    """
+    folders = period_folders(spark, path, start, end) if file_format(path, fmt) == "parquet" else None
+    if folders is not None and not folders:
+        return nz.normalize(spark.createDataFrame([], "ProviderName string"))
+    raw = read_raw(spark, path if folders is None else folders, fmt)
+    raw = bounded(raw.drop(*[c for c in raw.columns if c.lower().startswith("x_")]), start, end)
+    out = date_range(nz.normalize(raw), start, end, guard=False)
+    return nz.fill_all_null(out, {"InvoiceIssuerName": vendor, "ProviderName": provider}, raw)
 
 
 def aws_export(spark: SparkSession, path: str, start: dt.date, end: dt.date) -> DataFrame:
@@ -72,8 +146,7 @@ def azure_export(spark: SparkSession, path: str, start: dt.date, end: dt.date, f
 def gcp_export(table: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """A canonical billing table; the range reaches the scan before anything else."""
     raw = date_range(table, start, end, guard=False)
-    out = nz.stamp_issuer(nz.normalize(raw), "Google Cloud", raw)
-    return nz.fill_if_all_null(out, "ProviderName", "GCP", raw)
+    return nz.fill_all_null(nz.normalize(raw), {"InvoiceIssuerName": "Google Cloud", "ProviderName": "GCP"}, raw)
 
 
 def month_globs(root: str, start: dt.date, end: dt.date) -> list[str]:
@@ -82,18 +155,19 @@ def month_globs(root: str, start: dt.date, end: dt.date) -> list[str]:
     return [f"{root}/{OCI_PREFIX}/{m // 12:04d}/{m % 12 + 1:02d}/*/*.csv.gz" for m in range(first, last + 1)]
 
 
-def oci_reports(spark: SparkSession, root: str, start: dt.date, end: dt.date) -> DataFrame:
-    """Gzipped daily reports, pruned by the day in the path; provider spellings folded to OCI.
+def report_files(spark: SparkSession, root: str, start: dt.date, end: dt.date) -> list[str]:
+    """The daily reports of `[start, end)`, by the day in their path; months without one are skipped."""
+    found = [f for glob in month_globs(root, start, end) for f in _data_files(spark, glob)]
+    days = {f: re.search(r"/(\d{4})/(\d{2})/(\d{2})/[^/]*$", f) for f in found}
+    return [f for f, day in days.items() if day and start <= dt.date(*map(int, day.groups())) < end]
 
-    Months without a report are skipped: the globs are checked against the file system first.
-    """
-    present = [g for g in month_globs(root, start, end) if _matches(spark, g)]
+
+def oci_reports(spark: SparkSession, root: str, start: dt.date, end: dt.date) -> DataFrame:
+    """Gzipped daily reports of the window, columns by name; provider spellings folded to OCI."""
+    present = report_files(spark, root, start, end)
     if not present:
         return nz.normalize(spark.createDataFrame([], "ProviderName string"))
-    raw = spark.read.option("header", True).csv(present)
-    day = F.to_date(F.regexp_replace(
-        F.regexp_extract(F.col("_metadata.file_path"), r"/(\d{4}/\d{2}/\d{2})/[^/]*$", 1), "/", "-"))
-    raw = raw.filter((day >= F.lit(start)) & (day < F.lit(end)))
+    raw = csv_by_name(spark, present)
     if "ProviderName" in raw.columns:
         known = F.lower(F.trim("ProviderName")).isin(OCI_NAMES)
         raw = raw.withColumn("ProviderName", F.when(known, "OCI").otherwise(F.col("ProviderName")))
@@ -102,12 +176,6 @@ def oci_reports(spark: SparkSession, root: str, start: dt.date, end: dt.date) ->
     return nz.stamp_issuer(nz.normalize(raw), "Oracle", raw)
 
 
-def _matches(spark: SparkSession, glob: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return found is not None and len(found) > 0
-
-
 def month_slices(ranges: DataFrame) -> DataFrame:
     """`[start, end)` per row into calendar-month slices, clipped at both ends."""
     first = F.explode(F.sequence(F.trunc("start", "month"), F.trunc(F.date_sub("end", 1), "month"),

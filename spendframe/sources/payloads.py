@@ -67,8 +67,8 @@ def _map(table: dict[str, str], key: Column, default: str) -> Column:
     return F.coalesce(F.try_element_at(pairs, key), F.lit(default))
 
 
-def category(services: dict[str, list[str]], name: Column) -> Column:
-    return _map({service: c for c, names in services.items() for service in names}, F.coalesce(name, F.lit("")), "Other")
+def category(services: dict[str, str], name: Column) -> Column:
+    return _map(services, F.coalesce(name, F.lit("")), "Other")
 
 
 def with_periods(df: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
@@ -124,10 +124,13 @@ def aws_cost_explorer(df: DataFrame, start: dt.date, end: dt.date, account: str
 
 
 def azure_query(df: DataFrame, start: dt.date, end: dt.date, subscription: str = "", daily: bool = True) -> DataFrame:
-    """A column-name list with row arrays; the date may be a yyyyMMdd number."""
+    """A column-name list with row arrays; the date may be a yyyyMMdd number.
+
+    A row with fewer cells than names has nulls in the last ones; cells beyond the names are dropped.
+    """
     names = F.transform("properties.columns", lambda c: c["name"])
-    rows = df.select(names.alias("names"), F.explode("properties.rows").alias("row")).filter(
-        F.size("row") == F.size("names")).select(F.map_from_arrays("names", "row").alias("r"))
+    cells = F.transform("names", lambda _, i: F.try_element_at("row", i + 1))
+    rows = df.select(names.alias("names"), F.explode("properties.rows").alias("row")).select(F.map_from_arrays("names", cells).alias("r"))
     r = F.col("r")
     service, group = first(r, "ServiceName"), first(r, "ResourceGroup", default="")
     raw = first(r, "UsageDate", "BillingMonth")

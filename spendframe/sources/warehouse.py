@@ -13,14 +13,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spendframe.functions import focus
 from spendframe.operators.scope import Scope, months_back
+from spendframe.plans import sinks
 
 SNAPSHOT_WINDOW_MONTHS = 24
+SNAPSHOT_SCHEMA = (
+    "lever_id string, lever_name string, category string, cloud string, scope string, monthly_savings decimal(28,9), "
+    "annual_savings decimal(28,9), effort string, risk string, time_to_value string, confidence double, evidence string, "
+    "resource_count bigint, _generated_at timestamp_ntz, as_of date")
 
 
 def table(spark: SparkSession, path: str) -> DataFrame:
     """The whole table with its declared types (partition values are not guessed)."""
-    schema = focus.warehouse_schema().add("charge_date", "date")
-    return spark.read.schema(schema).parquet(path)
+    return sinks.read_table(spark, path, focus.warehouse_schema().add("charge_date", "date"), "charge_date", "_binding")
+
+
+def snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """All opportunity snapshots."""
+    return sinks.read_table(spark, path, SNAPSHOT_SCHEMA, "as_of")
 
 
 def read_charges(spark: SparkSession, path: str, scope: Scope, today: dt.date,
@@ -39,11 +48,21 @@ def opportunity_window(spark: SparkSession, path: str, today: dt.date) -> DataFr
 
 
 def scanned_bytes(df: DataFrame) -> int:
-    """Size of the files left after partition pruning, from the planned file scans."""
+    """Size of what the planned scans cover: pruned files, or the estimate of a version 2 source.
+
+    A scan of unknown size is an error, so that a cap can't be passed by not being measured.
+    """
     leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
-    scans = [leaves.apply(i) for i in range(leaves.size())]
-    return sum(int(str(s.selectedPartitions().totalFileSize())) for s in scans
-               if s.getClass().getSimpleName() == "FileSourceScanExec")
+    total = 0
+    for scan in [leaves.apply(i) for i in range(leaves.size())]:
+        kind = scan.getClass().getSimpleName()
+        if kind == "FileSourceScanExec":
+            total += int(str(scan.selectedPartitions().totalFileSize()))
+        elif kind == "BatchScanExec" and scan.scan().estimateStatistics().sizeInBytes().isPresent():
+            total += int(scan.scan().estimateStatistics().sizeInBytes().getAsLong())
+        elif kind not in ("LocalTableScanExec", "EmptyRelationExec", "OneRowRelationExec"):
+            raise ValueError(f"a scan of unknown size: {kind}")
+    return total
 
 
 def guard(df: DataFrame, max_bytes: int) -> DataFrame:
@@ -54,15 +73,18 @@ def guard(df: DataFrame, max_bytes: int) -> DataFrame:
     return df
 
 
-def latest_snapshot(spark: SparkSession, path: str, clouds: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of the newest `as_of`, largest annual savings first.
+def latest(rows: DataFrame, clouds: tuple[str, ...] = ()) -> DataFrame:
+    """Snapshot rows of the newest `as_of`, largest annual savings first.
 
     A cloud matches when it is one of the names in the row's label.
     """
-    rows = spark.read.parquet(path)
     newest = rows.agg(F.max("as_of")).scalar()
     rows = rows.filter(F.col("as_of") == newest)
     if clouds:
         named = F.transform(F.split("cloud", ","), lambda c: F.trim(c))
         rows = rows.filter(F.arrays_overlap(named, F.array(*[F.lit(c) for c in clouds])))
     return rows.orderBy(F.desc("annual_savings"), "lever_id", "cloud", "scope")
+
+
+def latest_snapshot(spark: SparkSession, path: str, clouds: tuple[str, ...] = ()) -> DataFrame:
+    return latest(snapshots(spark, path), clouds)

@@ -1,4 +1,5 @@
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +56,51 @@ def test_bad_bindings_are_isolated(run, spark):
     assert (row["tag_application"], row["_ingested_at"], row["ChargeClass"]) == ("shop", NOW, None)
 
 
+def corrupt(folder):
+    """A binding whose file can be listed but not read."""
+    def read(spark, start, end):
+        spark.range(1).selectExpr("'2024-01-05' AS ChargePeriodStart").write.mode("overwrite").parquet(folder)
+        schema = spark.read.parquet(folder).schema
+        for file in Path(folder).glob("part-*"):
+            file.write_bytes(b"PAR1 not a file PAR1")
+        return spark.read.schema(schema).parquet(folder)
+    return read
+
+
+def test_a_feed_that_fails_while_read_fails_alone(run, tmp_path):
+    results = {r.binding: r.status for r in run(bad=corrupt(str(tmp_path / "c")), good=feed(["2024-01-05"]))}
+    assert results == {"bad": "failed", "good": "loaded"} and run.days() == [("good", "2024-01-05")]
+    results = run(bad=corrupt(str(tmp_path / "c")))
+    assert nightly.exit_code(results) == 1 and run.days() == [("good", "2024-01-05")]
+
+
+def test_a_reader_sees_the_table_before_or_after(run, spark, monkeypatch):
+    run(a=feed(["2024-01-05", "2024-01-06"]))
+    before = wh.table(spark, run.path)
+    monkeypatch.setattr(sinks.Manifests, "publish", lambda *_: (_ for _ in ()).throw(OSError("killed")))
+    with pytest.raises(OSError):
+        run(a=feed(["2024-01-06"]))
+    assert len(run.days()) == 2 and len(sinks.Manifests(spark, run.path).folders()) == 1
+    monkeypatch.undo()
+    run(a=feed(["2024-01-06", "2024-01-07"]))
+    assert before.count() == 2  # an open reader keeps its version
+    assert run.days() == [("a", "2024-01-05"), ("a", "2024-01-06"), ("a", "2024-01-07")]
+    run(a=feed(["2024-01-05", "2024-01-07"]))
+    assert run.days() == [("a", "2024-01-05"), ("a", "2024-01-07")]
+    assert len(sinks.Manifests(spark, run.path).latest()[1]) == 1  # covered versions are forgotten
+    assert len(sinks.vacuum(spark, run.path)) == 2 and len(run.days()) == 2
+
+
+def test_two_writers_do_not_lose_each_other(run, spark):
+    run(a=feed(["2024-01-05"]))
+    manifests = sinks.Manifests(spark, run.path)
+    number, versions = manifests.latest()
+    manifests.publish(number + 1, versions)
+    with pytest.raises(OSError):
+        manifests.publish(number + 1, [])
+    assert len(run.days()) == 1
+
+
 def test_all_failed_replaces_nothing(run):
     run(good=feed(["2024-01-05"]))
     results = run(gone=missing, good=feed(["2024-01-06"], EffectiveCost=None))
@@ -95,7 +141,7 @@ def test_reads_are_bounded_and_guarded(run, spark):
 
 def test_table_schema(run, spark):
     run(a=feed(["2024-01-05"]))
-    stored = spark.read.parquet(run.path).drop("charge_date")
+    stored = wh.table(spark, run.path).drop("charge_date")
     want = {f.name: f.dataType for f in focus.warehouse_schema()}
     assert {f.name: f.dataType for f in stored.schema} == want
     assert not [p for p in va.schema_parity(stored.schema) if "nullable" not in p]

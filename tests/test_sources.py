@@ -73,6 +73,31 @@ def test_oci_reports(spark, tmp_path):
     assert len(files.month_globs("r", dt.date(2023, 11, 5), B)) == 4
 
 
+def test_csv_columns_go_by_name(spark, tmp_path):
+    root = tmp_path / "oci" / "FOCUS Reports" / "2024/01"
+    write(root / "01" / "a.csv.gz", "ChargePeriodStart,EffectiveCost,ListCost\n2024-01-01,1,10\n", zipped=True)
+    write(root / "02" / "b.csv.gz", "ListCost,ChargePeriodStart,EffectiveCost\n20,2024-01-02,2\n", zipped=True)
+    write(root / "03" / "c.csv.gz", "EffectiveCost,ChargePeriodStart\n3,2024-01-03\n", zipped=True)
+    rows = files.oci_reports(spark, str(tmp_path / "oci"), A, B).collect()
+    assert sorted((float(r["EffectiveCost"]), r["ListCost"] and float(r["ListCost"])) for r in rows) == [(1.0, 10.0), (2.0, 20.0), (3.0, None)]
+    write(tmp_path / "f" / "a.csv", CSV + "2024-01-02,1,AWS,i\n")
+    write(tmp_path / "f" / "b.csv", "ProviderName,ChargePeriodStart,EffectiveCost\nGCP,2024-01-03,2\n")
+    rows = files.focus_file(spark, str(tmp_path / "f"), A, B).collect()
+    assert sorted((r["ProviderName"], float(r["EffectiveCost"])) for r in rows) == [("AWS", 1.0), ("GCP", 2.0)]
+
+
+def test_exports_read_only_their_months(spark, tmp_path):
+    for month in (12, 1, 2, 3):
+        spark.sql(f"select timestamp_ntz'2024-{month:02d}-05 00:00:00' ChargePeriodStart, 1.0 EffectiveCost, cast(null as string) ProviderName").write.parquet(
+            str(tmp_path / "e" / f"BILLING_PERIOD=2024-{month:02d}"))
+    out = files.aws_export(spark, str(tmp_path / "e"), A, dt.date(2024, 3, 1))
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((str(r["ChargePeriodStart"].date()), r["ProviderName"]) for r in out.collect()) == [("2024-01-05", "AWS"), ("2024-02-05", "AWS")]
+    assert text.count("FileScan parquet") == 2 and text.count("GreaterThanOrEqual(ChargePeriodStart") == 2
+    assert "2024-03" not in text.replace("2024-03-01", "")
+    assert files.aws_export(spark, str(tmp_path / "e"), dt.date(2020, 1, 1), dt.date(2020, 2, 1)).count() == 0
+
+
 def test_slices_and_chunks(spark):
     df = spark.createDataFrame([("b", dt.date(2024, 1, 15), dt.date(2024, 3, 1)), ("none", B, B)], "binding string, start date, end date")
     got = [(r["lo"], r["hi"]) for r in files.month_slices(df).orderBy("lo").collect()]
