@@ -40,6 +40,18 @@ add("S02_date_guard", """SELECT ProviderName, COUNT(*) AS rows FROM charges
 WHERE charge_key % 5 <> 0 AND ChargePeriodStart >= DATE '2000-01-01' AND ChargePeriodStart < DATE '2001-01-01' GROUP BY 1""")
 add("S07_bounded_scan", f"""SELECT ProviderName, COUNT(*) AS rows, MIN(ChargePeriodStart) AS first_day, {SUM('EffectiveCost')} AS cost
 FROM charges WHERE ProviderName IN ('AWS','GCP') AND ChargePeriodStart >= DATE '2002-06-15' - INTERVAL 25 MONTH GROUP BY 1""")
+add("S08_opportunity_window", f"""SELECT ProviderName, COUNT(*) AS rows, MIN(ChargePeriodStart) AS first_day, {SUM('EffectiveCost')} AS cost
+FROM charges WHERE ChargePeriodStart >= DATE '2001-09-30' - INTERVAL 24 MONTH GROUP BY 1""")
+_IN = ("((ProviderName = 'AWS' AND ChargePeriodStart BETWEEN DATE '2001-01-01' AND DATE '2001-06-30') OR "
+       "(ProviderName = 'GCP' AND ChargePeriodStart BETWEEN DATE '1998-01-01' AND DATE '1999-12-31'))")
+add("S11_replaced_windows", f"""SELECT ProviderName AS _binding, COUNT(*) AS rows, MIN(ChargePeriodStart) AS first_day,
+{SUM(f'CASE WHEN {_IN} THEN 2 * EffectiveCost ELSE EffectiveCost END')} AS cost FROM charges WHERE NOT {_IN} OR charge_key % 3 = 0 GROUP BY 1""")
+add("S13_late_rows", f"""SELECT ProviderName AS _binding, COUNT(*) AS rows, MIN(ChargePeriodStart) AS first_day, {SUM('EffectiveCost')} AS cost
+FROM charges WHERE ChargePeriodStart < DATE '2001-09-30' OR charge_key % 4 <> 0 GROUP BY 1""")
+add("S15_bindings_union", f"""SELECT _binding, tag_application, COUNT(*) AS rows, {SUM('EffectiveCost')} AS cost FROM feed f
+WHERE NOT EXISTS (SELECT 1 FROM feed g WHERE g._binding = f._binding AND (g.InvoiceIssuerName IS NULL OR g.ChargeClass IS NOT NULL
+  OR (g.ChargeCategory = 'Purchase' AND g.ChargeFrequency = 'Usage-Based') OR (g.CommitmentDiscountId IS NOT NULL AND g.CommitmentDiscountType IS NULL)))
+GROUP BY 1, 2""", FEED)
 add("S14_month_slices", """SELECT binding, CAST(GREATEST(s, m) AS DATE) AS lo, CAST(LEAST(e, m + INTERVAL 1 MONTH) AS DATE) AS hi FROM (
   SELECT ProviderName AS binding, MIN(ChargePeriodStart) + 9 AS s, MAX(ChargePeriodStart) + 1 AS e FROM charges GROUP BY 1) r,
   (SELECT unnest(generate_series(DATE '1994-01-01', DATE '2002-12-01', INTERVAL 1 MONTH)) AS m) x
@@ -78,7 +90,7 @@ def _issue(severity: str, rule: str, column: str, when: str, sample: str = "NULL
 
 
 _SAMPLE = ("(SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT ChargeClass AS v FROM feed i "
-           "WHERE i._binding = feed._binding AND ChargeClass IS NOT NULL ORDER BY v LIMIT 5))")
+           "WHERE i._binding = feed._binding AND ChargeClass IS NOT NULL))")
 ISSUES = {
     "N08_null_errors": "\nUNION ALL ".join(_issue("error", "null", c, f"{c} IS NULL", "CAST(NULL AS VARCHAR)") for c in NOT_NULLABLE),
     "N09_enum_errors": _issue("error", "enum", "ChargeClass", "ChargeClass <> 'Correction'", _SAMPLE),
@@ -568,6 +580,10 @@ CASE WHEN det NOT IN ('O01', 'O11') THEN ROUND(ROUND(spend, 2), 1) END AS eviden
 add("O15_filtered", """SELECT COUNT(*) AS count, ROUND(COALESCE(SUM(annual_savings), 0), 2) AS total_annual_savings FROM opps
 WHERE lower(category) = 'usage' AND annual_savings >= 400000""", OPPS)
 WASTE = "(SELECT COALESCE(SUM(monthly_savings), 0) FROM opps WHERE lever_id IN ('U4','U5','U6','U7','U8','U10'))"
+add("S09_latest_snapshot", """SELECT DATE '2001-09-30' AS as_of, lever_id, cloud, scope, monthly_savings, annual_savings FROM opps
+WHERE list_has_any(string_split(cloud, ', '), ['AWS', 'OCI'])""", OPPS)
+add("S12_replaced_snapshot", f"""SELECT DATE '2001-09-29' AS as_of, COUNT(*) AS rows, {R('SUM(annual_savings)', 2)} AS annual_savings FROM opps
+UNION ALL SELECT DATE '2001-09-30', COUNT(*), {R('SUM(annual_savings)', 2)} FROM opps WHERE category = 'Usage'""", OPPS)
 add("O16_usage_waste", f"SELECT {R(WASTE, 2)} AS usage_waste_monthly", OPPS)
 add("O17_savings_by_category", f"""SELECT category, {R('SUM(monthly_savings)', 2)} AS monthly_savings, {R('SUM(annual_savings)', 2)} AS annual_savings,
 COUNT(*) AS opportunities FROM opps GROUP BY 1""", OPPS)

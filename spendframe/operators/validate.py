@@ -75,18 +75,18 @@ def counted(df: DataFrame, keys: list[str] = []) -> DataFrame:
                        if missing else broken.alias("found"))
 
 
-def enum_samples(df: DataFrame, keys: list[str] = []) -> DataFrame:
-    """Per enum column up to five values outside it, sorted."""
+def enum_samples(df: DataFrame, keys: list[str] = [], most: int | None = None) -> DataFrame:
+    """Per enum column the values outside it, all or the first `most`, sorted."""
     names = [name for name in focus.ENUMS if name in df.columns]
     pairs = F.array(*[F.when(_outside(name), F.struct(F.lit(name).alias("column"),
                                                      F.col(name).cast("string").alias("value")))
                       for name in names])
     values = df.select(*keys, F.explode(pairs).alias("p")).filter("p is not null").select(
         *keys, "p.column", "p.value").distinct()
-    # Row number up to 5 is cut per partition before the shuffle, however many values there are.
-    first = Window.partitionBy(*keys, "column").orderBy("value")
-    return (values.withColumn("rn", F.row_number().over(first)).filter("rn <= 5")
-            .groupBy(*keys, "column")
+    if most is not None:  # a row number limit is cut per partition before the shuffle, however many values there are
+        first = Window.partitionBy(*keys, "column").orderBy("value")
+        values = values.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= most)
+    return (values.groupBy(*keys, "column")
             .agg(F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("sample")))
 
 

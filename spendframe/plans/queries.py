@@ -12,8 +12,9 @@ from spendframe.operators import (
     allocation as al, anomaly as an, budget as bu, forecast as fc, kpi, levers, normalize as nz, optimize as op,
     rollups as ru, validate as va,
 )
-from spendframe.operators.scope import DIMENSIONS, Scope
-from spendframe.sources import testcharges as tc
+from spendframe.operators.scope import DIMENSIONS, Scope, months_back
+from spendframe.plans import nightly, sinks
+from spendframe.sources import files, testcharges as tc, warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,7 +52,6 @@ def r2(df: DataFrame, *names: str) -> DataFrame:
 # --- sources ---------------------------------------------------------------------------
 @query("S02_date_guard")
 def _(spark, sf):
-    from spendframe.sources import files
     c = tc.charges(spark, sf).withColumn(
         "ChargePeriodStart", F.when(F.col("charge_key") % 5 == 0, "no date")
         .otherwise(F.col("ChargePeriodStart").cast("string")))
@@ -67,9 +67,80 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("rows"), F.min(cols.day()).alias("first_day"), cols.total(cols.COST).alias("cost"))
 
 
+@query("S08_opportunity_window")
+def _(spark, sf):
+    scope = Scope(start=months_back(AS_OF, warehouse.SNAPSHOT_WINDOW_MONTHS))
+    return scope.apply(tc.charges(spark, sf)).groupBy("ProviderName").agg(
+        F.count(F.lit(1)).alias("rows"), F.min(cols.day()).alias("first_day"), cols.total(cols.COST).alias("cost"))
+
+
+def _snapshot(rows: DataFrame, as_of: dt.date) -> DataFrame:
+    return op.snapshot(rows, as_of, dt.datetime(2001, 9, 30, 3, 45)).select(
+        "as_of", "lever_id", "cloud", "scope", F.col("monthly_savings").cast("double"), F.col("annual_savings").cast("double"))
+
+
+@query("S09_latest_snapshot")
+def _(spark, sf):
+    found = op.detect(tc.charges(spark, sf))
+    older = found.withColumn("annual_savings", F.lit(1.0))
+    rows = _snapshot(older, AS_OF - dt.timedelta(days=1)).union(_snapshot(found, AS_OF))
+    return warehouse.latest(rows, ("AWS", "OCI"))
+
+
+def _stored(c: DataFrame) -> DataFrame:
+    """Charges with the partition columns of the table at rest."""
+    return c.select(F.col("ProviderName").alias("_binding"), F.col("ChargePeriodStart").alias("charge_date"), "charge_key", cols.COST)
+
+
+def _per_binding(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("_binding").agg(F.count(F.lit(1)).alias("rows"), F.min("charge_date").alias("first_day"), cols.total(cols.COST).alias("cost"))
+
+
+@query("S11_replaced_windows")
+def _(spark, sf):
+    """Two bindings' windows replaced by a third of their rows at double cost; everything else stays."""
+    stored = _stored(tc.charges(spark, sf))
+    windows = [{"key": "AWS", "lo": "2001-01-01", "hi": "2001-06-30"}, {"key": "GCP", "lo": "1998-01-01", "hi": "1999-12-31"}]
+    new = sinks.within(stored, windows, "charge_date", "_binding").filter(F.col("charge_key") % 3 == 0).withColumn(
+        cols.COST, (F.col(cols.COST) * 2).cast("decimal(28,6)"))
+    current = stored.withColumn(cols.COST, F.col(cols.COST).cast("decimal(28,6)"))
+    return _per_binding(sinks.replaced(current, new.select(current.columns), windows, "charge_date", "_binding"))
+
+
+@query("S12_replaced_snapshot")
+def _(spark, sf):
+    """Two days of snapshots of which the newer one is replaced by fewer rows."""
+    found = op.detect(tc.charges(spark, sf))
+    day = {"key": None, "lo": AS_OF.isoformat(), "hi": AS_OF.isoformat()}
+    current = _snapshot(found, AS_OF - dt.timedelta(days=1)).union(_snapshot(found, AS_OF))
+    out = sinks.replaced(current, _snapshot(found.filter("category = 'Usage'"), AS_OF), [day], "as_of")
+    return r2(out.groupBy("as_of").agg(F.count(F.lit(1)).alias("rows"), F.sum("annual_savings").alias("annual_savings")))
+
+
+@query("S13_late_rows")
+def _(spark, sf):
+    """The look-back window pulled again, late rows included."""
+    stored = _stored(tc.charges(spark, sf))
+    start, end = nightly.lookback(AS_OF)
+    pulled = files.date_range(stored.withColumnRenamed("charge_date", "ChargePeriodStart"), start, end, guard=False)
+    windows = [{"key": b, "lo": start.isoformat(), "hi": (end - dt.timedelta(days=1)).isoformat()} for b in ("AWS", "Azure", "GCP", "OCI", "IBM Cloud")]
+    before = stored.filter((F.col("charge_date") < F.lit(start)) | (F.col("charge_key") % 4 != 0))
+    return _per_binding(sinks.replaced(before, pulled.withColumnRenamed("ChargePeriodStart", "charge_date").select(stored.columns),
+                                       windows, "charge_date", "_binding"))
+
+
+@query("S15_bindings_union")
+def _(spark, sf):
+    """All bindings in warehouse shape; one with an error in any month contributes nothing."""
+    feed = tc.feed(spark, sf).drop("tag_application", "tag_business_unit", "tag_environment")
+    rows = sinks.typed(nz.serialize_tags(nz.explode_tags(nz.normalize(feed))))
+    bad = va.verdict(rows.withColumn("month", cols.month()), ["_binding", "month"]).filter("not ok").select("_binding").distinct()
+    loaded = rows.join(bad, "_binding", "left_anti")
+    return loaded.groupBy("_binding", "tag_application").agg(F.count(F.lit(1)).alias("rows"), cols.total(cols.COST).alias("cost"))
+
+
 @query("S14_month_slices")
 def _(spark, sf):
-    from spendframe.sources import files
     ranges = tc.charges(spark, sf).groupBy(F.col("ProviderName").alias("binding")).agg(
         F.date_add(F.min(cols.day()), 9).alias("start"), F.date_add(F.max(cols.day()), 1).alias("end"))
     return files.month_slices(ranges)

@@ -100,6 +100,11 @@ def _inside(window: dict, day: str, key: str | None) -> Column:
     return bound & F.col(key).eqNullSafe(F.lit(window["key"])) if key else bound
 
 
+def within(rows: DataFrame, windows: list[dict], day: str, key: str | None = None) -> DataFrame:
+    """The rows inside any window."""
+    return rows.filter(reduce(lambda a, b: a | b, [_inside(w, day, key) for w in windows]))
+
+
 def without(rows: DataFrame, windows: list[dict], day: str, key: str | None = None) -> DataFrame:
     """The rows outside every window. Only partition columns are asked, so whole files are left out."""
     return reduce(lambda df, w: df.filter(~F.coalesce(_inside(w, day, key), F.lit(False))), windows, rows)
