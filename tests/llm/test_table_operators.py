@@ -450,3 +450,29 @@ def test_pipeline(spark):
             assert max(collections.Counter(left).values()) <= 3
     result = corpus_pipeline.run(spark, SF)
     assert sorted(r.doc_id for r in result.collect()) == sorted(left)
+
+
+def test_pipeline_links_near_copies_from_80_percent(spark):
+    base = [f"w{i}" for i in range(200)]
+    copy = [f"x{i}" if i in (30, 80, 120, 170) else w for i, w in enumerate(base)]  # 176 of 216 shingles
+    other = [f"y{i}" if i in (30, 70, 110, 150, 190) else w for i, w in enumerate(base)]  # 171 of 221
+    texts = [(i, " ".join(w)) for i, w in enumerate((base, copy, other))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, df, SF).collect()) == [0, 2]
+    assert sorted(r.doc_id for r in near_dedup.keep_one(df).collect()) == [0, 1, 2]
+    docs = read(spark, SF, "documents")
+    expected = near_components(texts_of(spark, SF).items(), 80)
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, SF).collect()) == sorted(
+        i for i, r in expected.items() if r[2] or not r[0])
+
+
+def test_pipeline_with_near_copies_from_80_percent(spark, monkeypatch):
+    monkeypatch.setattr(near_components, "__defaults__", (corpus_pipeline.NEAR_PERCENT,))
+    test_pipeline(spark)
+
+
+def test_bands_miss_few_pairs_at_the_threshold():
+    assert near_dedup.banding(85) == (25, 5) and near_dedup.banding(80) == (31, 4)
+    for percent in range(11, 101):
+        bands, rows = near_dedup.banding(percent)
+        assert bands * rows <= 127 and (1 - (percent / 100) ** rows) ** bands < 1e-6
