@@ -21,7 +21,7 @@ KINDS = ("email", "ip", "card", "phone", "url", "iban", "account", "secret")
 BASE = KINDS[:4]
 SCHEMES = ("http://", "https://", "ftp://")
 ACCOUNT_CUES = ("account number", "account no", "acct", "account", "konto", "compte", "cuenta", "customer id", "passport", "ssn")
-SECRET_CUES = ("password=", "passwd=", "api_key=", "apikey=", "token =", "token=", "secret=", "secret =")
+SECRET_CUES = ("password", "passwd", "api_key", "apikey", "token", "secret")
 
 FIELDS = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, spans string"
 
@@ -33,7 +33,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s<>\"'`{}|\\^]++")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"[\s:#=.]{0,3}+([A-Z]{0,3}[0-9](?:-?[0-9A-Z]){4,19})(?![A-Za-z0-9])")
-_SECRET = re.compile(r"[ \"']{0,2}+([A-Za-z0-9_+/=-]{8,})")
+_SECRET = re.compile(r"[\"']?+[ \t]*+[=:][ \t]*+[ \"']{0,2}+([A-Za-z0-9_+/=-]{8,})")
 _DIGITS = frozenset("0123456789")
 
 Span = tuple[int, int]
@@ -122,8 +122,12 @@ def _after(pattern: re.Pattern) -> Callable:
 _account, _secret = _after(_ACCOUNT), _after(_SECRET)
 
 
+#: ASCII only, so that no character changes its place.
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+
 def automaton() -> ahocorasick.Automaton:
-    """All anchors, each with the kinds it may start."""
+    """All anchors in lower case, each with the kinds it may start; texts are passed through it in lower case."""
     machine = ahocorasick.Automaton()
     machine.add_word("@", ("@", 1))
     machine.add_word("+", ("+", 1))
@@ -131,8 +135,7 @@ def automaton() -> ahocorasick.Automaton:
         machine.add_word(digit, ("0", 1))
     for cues, tag in ((SCHEMES, "s"), (ACCOUNT_CUES, "a"), (SECRET_CUES, "k")):
         for cue in cues:
-            for form in {cue, cue.upper(), cue.capitalize()}:
-                machine.add_word(form, (tag, len(form)))
+            machine.add_word(cue, (tag, len(cue)))
     machine.make_automaton()
     return machine
 
@@ -148,7 +151,7 @@ def spans(text: str | None, machine: ahocorasick.Automaton) -> Iterator[tuple[st
         if span:
             yield kind, *span
 
-    for last, (tag, length) in machine.iter(text):
+    for last, (tag, length) in machine.iter(text.translate(_LOWER)):
         at = last - length + 1
         if tag == "0":
             if at >= floor["ip"]:

@@ -61,6 +61,20 @@ def test_pii_anchors_beyond_the_base():
     assert pii.redacted("write to a@b.cd now", machine) == "write to [email] now"
 
 
+@pytest.mark.parametrize("text, kind, value", [
+    ("Account Number: 12345678", "account", "12345678"), ("Customer ID: 47110815", "account", "47110815"),
+    ("Account No. 12345678", "account", "12345678"), ("aCCOUNT nUMBER 12345678", "account", "12345678"),
+    ("Api_Key=0b96a8c8d79c", "secret", "0b96a8c8d79c"), ("password = hunter2hunter2", "secret", "hunter2hunter2"),
+    ("api_key = 0b96a8c8d79c", "secret", "0b96a8c8d79c"), ("password: hunter2hunter2", "secret", "hunter2hunter2"),
+    ("token: 0b96a8c8d79c", "secret", "0b96a8c8d79c"), ('"token": "0b96a8c8d79c"', "secret", "0b96a8c8d79c"),
+    ("SECRET='0b96a8c8d79c'", "secret", "0b96a8c8d79c"), ("\u0130\u0130 PassWord=0b96a8c8d79c", "secret", "0b96a8c8d79c")])
+def test_pii_cues_in_any_case_and_spacing(text, kind, value):
+    machine = pii.automaton()
+    assert [text[s:e] for k, s, e in pii.spans(text, machine) if k == kind] == [value]
+    assert pii.redacted(text, machine) == text.replace(value, f"[{kind}]")
+    assert not [s for s in pii.spans("the password protects, tokens circulate", machine)]
+
+
 def test_pii_cases(documents, rows):
     long = "x" * 100_000 + " a@b.cd " + "1" * 50_000
     found = rows(pii.scan(documents((1, None), (2, ""), (3, "é a@b.cd"), (4, long), (3, "é a@b.cd"), (None, "1.2.3.4"))))
