@@ -1,13 +1,16 @@
 """License texts and notices in documents, found by winnowed fingerprints and confirmed by banded alignment.
 
 Template fingerprints form an inverted index. A document's own fingerprints look up candidates: templates, and the
-diagonals on which they would lie. Each candidate is aligned word by word within a band around its diagonal,
-which gives the share of the template that is matched and the span in the document.
+diagonals on which they would lie. Short templates are indexed by every single word, and enough of their words close
+together make a candidate. Each candidate is aligned word by word within a band around its diagonal,
+which gives the share of the template that is matched and the span in the document. The words that tell licenses apart
+must be those of the template.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 import re
 
 import numpy as np
@@ -17,10 +20,16 @@ from pyspark.sql import DataFrame
 from .common import annotate, encoded, flat, grams, winnow
 
 GRAM, WINDOW = 3, 2
+#: Templates of fewer words are short.
+SHORT = 20
 #: Share of a template's words that must be matched.
 COVERAGE = 0.8
 MATCH, MISS, GAP = 2, -1, -1
 
+#: Words that tell licenses apart, besides numbers.
+NAMES = frozenset("""mit apache bsd isc mozilla mpl gnu gpl lgpl agpl lesser library affero cc cc0 nc sa nd creative commons
+    noncommercial sharealike noderivatives noderivs unlicense eclipse boost""".split())
+
 #: Public license notices and statements, by identifier.
 TEMPLATES = {
     "Apache-2.0/notice": (
@@ -59,6 +68,30 @@ TEMPLATES = {
         "with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     "Unlicense/release": "This is free and unencumbered software released into the public domain.",
 }
+_GPL, _LGPL = TEMPLATES["GPL-3.0/notice"], TEMPLATES["GPL-3.0/notice"].replace("GNU General", "GNU Lesser General")
+_CC = TEMPLATES["CC-BY-4.0/statement"]
+TEMPLATES |= {
+    "AGPL-3.0/notice": _GPL.replace("GNU General", "GNU Affero General"),
+    "AGPL-3.0/statement": TEMPLATES["GPL-3.0/statement"].replace("GNU General", "GNU Affero General"),
+    "BSD-3-Clause/conditions": TEMPLATES["BSD-2-Clause/conditions"] + (
+        " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission."),
+    "CC-BY-4.0/short": "Licensed under CC BY 4.0.",
+    "CC-BY-NC-4.0/long": _CC.replace("Attribution", "Attribution-NonCommercial"),
+    "CC-BY-NC-ND-4.0/long": _CC.replace("Attribution", "Attribution-NonCommercial-NoDerivatives"),
+    "CC-BY-NC-ND-4.0/statement": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-NC-SA-4.0/long": _CC.replace("Attribution", "Attribution-NonCommercial-ShareAlike"),
+    "CC-BY-NC-SA-4.0/statement": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-ND-4.0/long": _CC.replace("Attribution", "Attribution-NoDerivatives"),
+    "CC-BY-ND-4.0/statement": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-SA-4.0/long": _CC.replace("Attribution", "Attribution-ShareAlike"),
+    "GPL-2.0/notice": _GPL.replace("version 3", "version 2"),
+    "GPL-2.0/statement": TEMPLATES["GPL-3.0/statement"].replace("version 3", "version 2"),
+    "LGPL-2.1/notice": _LGPL.replace("version 3", "version 2.1"),
+    "LGPL-2.1/statement": TEMPLATES["GPL-3.0/statement"].replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1"),
+    "LGPL-3.0/notice": _LGPL,
+    "LGPL-3.0/statement": TEMPLATES["GPL-3.0/statement"].replace("GNU General", "GNU Lesser General"),
+}
 
 FIELDS = "n_spans bigint, licenses string, best_coverage double, spans string"
 
@@ -79,13 +112,30 @@ def fingerprints(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, own[at]
 
 
+def marks(tokens: list[str]) -> list[str]:
+    """The words and numbers that tell licenses apart, in order; 2.0 is 2."""
+    return [t for t in tokens if t in NAMES or t.isdigit() and t != "0"]
+
+
+def same_license(template: list[str], found: list[str], short: bool) -> bool:
+    """Whether the marks of a span are the template's; between those of a long template other numbers may stand."""
+    if short:
+        return template == found
+    rest = iter(found)
+    return all(t in rest for t in template) and [t for t in template if t in NAMES] == [t for t in found if t in NAMES]
+
+
 class Index:
     """The inverted index: each fingerprint's templates and positions, in order of the hash."""
 
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
         self.words = [words(templates[n]) for n in self.names]
-        rows = [(h, t, p) for t, w in enumerate(self.words) for p, h in zip(*[x.tolist() for x in fingerprints(w)])]
+        self.marks = [marks([x.lower() for x in _WORD.findall(templates[n])]) for n in self.names]
+        self.short = [t for t, w in enumerate(self.words) if 0 < len(w) < SHORT]
+        self.vocabulary = np.unique(np.concatenate([np.empty(0, np.uint64), *[self.words[t] for t in self.short]]))
+        self.has = {t: np.isin(self.vocabulary, self.words[t]) for t in self.short}
+        rows = [(h, t, p) for t, w in enumerate(self.words) if len(w) >= SHORT for p, h in zip(*[x.tolist() for x in fingerprints(w)])]
         rows.sort()
         self.keys = np.array([r[0] for r in rows], np.uint64)
         self.where = np.array([r[1:] for r in rows], np.int64).reshape(-1, 2)
@@ -104,6 +154,20 @@ class Index:
                 out.append((t, diagonal, diagonal))
         return out
 
+    def places(self, hashes: np.ndarray, least: float) -> list[tuple[int, int]]:
+        """(short template, place) where one of its words begins a stretch that holds enough of them."""
+        if not len(self.vocabulary):
+            return []
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        hit = np.flatnonzero(self.vocabulary[at] == hashes)
+        out = []
+        for t in self.short:
+            own, n = hit[self.has[t][at[hit]]], len(self.words[t])
+            need = max(1, math.ceil(least * n - 1e-9))
+            if len(own) >= need:
+                out += [(t, p) for p in own[:len(own) - need + 1][own[need - 1:] - own[:len(own) - need + 1] < n + 2 * self.band(t)].tolist()]
+        return out
+
     def band(self, template: int) -> int:
         return max(2, len(self.words[template]) // 8)
 
@@ -134,17 +198,28 @@ def matches(text: str | None, index: Index, least: float = COVERAGE) -> list[tup
     """(identifier, start, end, coverage) in code points, in order. Of spans that overlap, the one with more words stays."""
     hashes = words(text)
     found = index.candidates(hashes) if len(hashes) else []
-    if not found:
+    short = index.places(hashes, least) if len(hashes) else []
+    if not found and not short:
         return []
     places = [m.span() for m in _WORD.finditer(text)]
-    out = []
+    # (template, first and end of the words to look at, lowest and highest diagonal in them)
+    tried = [(t, p, p + len(index.words[t]) + 2 * index.band(t), 1 - len(index.words[t]), len(index.words[t]) + 2 * index.band(t)) for t, p in short]
     for t, low, high in found:
-        band, template = index.band(t), index.words[t].tolist()
+        band = index.band(t)
         first = max(0, low - band)
-        part = hashes[first:high + len(template) + band].tolist()
-        matched, start, end = align(template, part, low - band - first, high + band - first)
-        if matched >= least * len(template):
-            out.append((matched, index.names[t], places[first + start][0], places[first + end - 1][1], matched / len(template)))
+        tried.append((t, first, high + len(index.words[t]) + band, low - band - first, high + band - first))
+    out = []
+    for t, first, stop, low, high in tried:
+        template = index.words[t].tolist()
+        matched, start, end = align(template, hashes[first:stop].tolist(), low, high)
+        if matched < least * len(template) or not matched:
+            continue
+        own = marks([text[a:b].lower() for a, b in places[first + start:first + end]])
+        end_at = places[first + end - 1][1]
+        # A version that goes on behind the span is another one, unless it goes on with .0.
+        longer = len(template) < SHORT and text[end_at - 1].isdigit() and re.match(r"\.(?!0+(?![0-9]))[0-9]", text[end_at:end_at + 9])
+        if same_license(index.marks[t], own, len(template) < SHORT) and not longer:
+            out.append((matched, index.names[t], places[first + start][0], end_at, matched / len(template)))
     kept: list[tuple[str, int, int, float]] = []
     for _, *m in sorted(set(out), key=lambda m: (-m[0], -m[4], m[2], m[1])):
         at = bisect.bisect(kept, m[1], key=lambda k: k[1])

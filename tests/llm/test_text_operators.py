@@ -143,6 +143,27 @@ def test_license_alignment():
         assert wide[0] <= min(len(a), len(b)) and 0 <= wide[1] <= wide[2] <= len(b)
 
 
+@pytest.mark.parametrize("text, names", [
+    ("Released under MIT License", ["MIT/statement"]), ("Released, under our MIT great License", ["MIT/statement"]),
+    ("Licensed under CC BY 4.0.", ["CC-BY-4.0/short"]), ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0/statement"]),
+    ("Licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA-4.0/statement"]), ("Licensed under CC BY-NC 3.0.", []),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0/statement"]),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", ["AGPL-3.0/statement"]),
+    ("This work is licensed under the GNU General Public License, version 3.0.", ["GPL-3.0/statement"]),
+    ("This work is licensed under the GNU General Public License, version 3.1.", []),
+    ("Licensed under the Apache License, Version 1.1.", []), ("Released under the BSD License.", []),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0/long"]),
+    (licenses.TEMPLATES["GPL-3.0/notice"].replace("GNU General", "GNU Lesser General"), ["LGPL-3.0/notice"])])
+def test_license_words_that_decide(text, names):
+    assert [m[0] for m in licenses.matches("Some words. " + text + " More words.", licenses.Index(licenses.TEMPLATES))] == names
+
+
+def test_every_license_template_is_found_as_itself():
+    index = licenses.Index(licenses.TEMPLATES)
+    for name, template in licenses.TEMPLATES.items():
+        assert [(m[0], m[3]) for m in licenses.matches(template, index)] == [(name, 1.0)]
+
+
 def test_license_cases(documents, rows):
     body = LONG + licenses.TEMPLATES["ISC/permission"]
     found = rows(licenses.scan(documents((1, None), (2, ""), (3, "Released under the MIT License. " * 3), (4, body), (4, body), (5, "é!"))))
