@@ -43,6 +43,20 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As `stored`, with the path for `dropped`."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of `written` that no later step reads, in whatever store they are."""
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the frame doesn't use, whatever the case."""
     used = {c.lower() for c in df.columns}

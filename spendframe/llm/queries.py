@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, licenses, mixing, near_dedup, pii, quality, sharding, suffix_dedup, warc
+from . import centroids, decontaminate, language, licenses, mixing, near_dedup, pii, quality, sharding, suffix_dedup, warc
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": lambda spark, d: language.identify(read(spark, d, "documents")),
     "op9_warc": lambda spark, d: warc.round_trip(read(spark, d, "pages")),
     "op10_quality_rules": lambda spark, d: quality.judge(read(spark, d, "documents"), read(spark, d, "labels")),
+    "op11_centroids": lambda spark, d: centroids.clusters(read(spark, d, "embeddings")),
 }
 
 SQL: dict[str, str] = {
