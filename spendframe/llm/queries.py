@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, decontaminate, language, licenses, mixing, near_dedup, pii, quality, relative_parse, sharding, suffix_dedup, warc
+from . import centroids, decontaminate, language, licenses, mixing, near_dedup, phrases, pii, quality, relative_parse, sharding, suffix_dedup, warc
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": lambda spark, d: quality.judge(read(spark, d, "documents"), read(spark, d, "labels")),
     "op11_centroids": lambda spark, d: centroids.clusters(read(spark, d, "embeddings")),
     "op12_relative_parse": lambda spark, d: relative_parse.earlier(read(spark, d, "documents")),
+    "op13_phrases": lambda spark, d: phrases.collocations(read(spark, d, "documents")),
 }
 
 SQL: dict[str, str] = {
