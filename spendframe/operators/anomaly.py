@@ -17,22 +17,103 @@ MAD_SCALE = 0.6745
 THRESHOLD = 3.5
 MIN_HISTORY = 10
 MIN_DEVIATION_PCT = 25.0
-METHOD_LABEL = {"stl_mad": "rolling_median_mad (stl unavailable)", "mad": "mad", "zscore": "zscore"}
+METHOD_LABEL = {"stl_mad": "rolling_median_mad (stl unavailable)", "stl": "stl_mad", "mad": "mad", "zscore": "zscore"}
+
+#: Seasonal-trend decomposition: days of a season, half widths of the local fits (of the season in seasons, of the low-pass
+#: and the trend in days), passes before the first and after each weighting, weightings.
+PERIOD, SEASON_HALF, LOW_HALF, TREND_HALF = 7, 3, 4, 7
+PASSES, WEIGHTINGS = 2, 2
 
 
 def _parts(keys: list[str]):
     return Window.partitionBy(*(keys or [F.lit(0)]))
 
 
+def _around(column: str, offset: int, ordered) -> Column:
+    return F.lag(column, -offset).over(ordered)
+
+
+def _loess(df: DataFrame, value: str, weight: str | None, half: int, step: int, ordered, out: str) -> DataFrame:
+    """`out`: a weighted line through the rows up to `half` steps away, at the row itself.
+
+    Weights are tricube in the distance, times `weight`. Rows beyond the ends of the series don't count; where no
+    line is determined, the weighted mean stands, and the value itself where nothing has weight.
+    """
+    offsets = [d * step for d in range(-half, half + 1)]
+    tricube = {d: (1 - (abs(d) / ((half + 1) * step)) ** 3) ** 3 for d in offsets}
+    names = {d: (f"_y{i}", f"_w{i}") for i, d in enumerate(offsets)}
+    near = {names[d][0]: _around(value, d, ordered) for d in offsets}
+    near |= {names[d][1]: _around(weight, d, ordered) for d in offsets} if weight else {}
+    df = df.withColumns(near)
+    zero = F.lit(0.0)
+    share = {d: F.when(F.col(names[d][0]).isNull(), zero).otherwise(tricube[d] * F.col(names[d][1]) if weight else F.lit(tricube[d])) for d in offsets}
+    df = df.withColumns({f"_k{i}": share[d] for i, d in enumerate(offsets)})
+    sums = {"_s0": zero, "_s1": zero, "_s2": zero, "_t0": zero, "_t1": zero}
+    for i, d in enumerate(offsets):
+        k, y = F.col(f"_k{i}"), F.coalesce(names[d][0], zero)
+        terms = {"_s0": k, "_s1": k * float(d), "_s2": k * float(d * d), "_t0": k * y, "_t1": k * float(d) * y}
+        sums = {name: total + terms[name] for name, total in sums.items()}
+    df = df.withColumns(sums)
+    spread = F.col("_s0") * F.col("_s2") - F.col("_s1") * F.col("_s1")
+    line = (F.col("_s2") * F.col("_t0") - F.col("_s1") * F.col("_t1")) / spread
+    fit = F.when(spread > 1e-9, line).when(F.col("_s0") > 1e-9, F.col("_t0") / F.col("_s0")).otherwise(F.col(value))
+    return df.withColumn(out, fit).drop(*near, *[f"_k{i}" for i in range(len(offsets))], *sums)
+
+
+def _moving(df: DataFrame, value: str, half: int, ordered, out: str) -> DataFrame:
+    """`out`: the mean of the rows up to `half` away; null where one of them is missing."""
+    total = F.lit(0.0)
+    for d in range(-half, half + 1):
+        total = total + _around(value, d, ordered)
+    return df.withColumn(out, total / (2 * half + 1))
+
+
+def decompose(series: DataFrame, keys: list[str], period: int = PERIOD) -> DataFrame:
+    """`series` with `seasonal` and `trend` of `cost`, by local regressions over the rows of each series in order.
+
+    A pass fits each day of the season over its neighbouring seasons, takes off what moves slowly in that fit (moving means and a
+    local fit; at the ends the nearest one), and fits the trend to the rest. After PASSES passes the rows are weighted by how well they
+    fit (bisquare of the residual in six medians), WEIGHTINGS times with one more pass each, so that single spikes bend neither.
+    All windows have one partitioning and one order: one shuffle and one sort, whatever the number of passes.
+    """
+    ordered = _parts(keys).orderBy("period")
+    before = _parts(keys).orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
+    after = _parts(keys).orderBy("period").rowsBetween(0, Window.unboundedFollowing)
+    df = series.withColumn("trend", F.lit(0.0))
+    weight = None
+    for number in range(PASSES + WEIGHTINGS):
+        if number >= PASSES:
+            df = df.withColumn("_off", F.abs(F.col("cost") - F.col("seasonal") - F.col("trend")))
+            df = df.withColumn("_scale", 6 * F.median("_off").over(_parts(keys)))
+            u = F.col("_off") / F.col("_scale")
+            df = df.withColumn("_weight", F.when(F.col("_scale") <= 1e-12, 1.0).when(u < 1, (1 - u * u) * (1 - u * u)).otherwise(0.0)).drop("_off", "_scale")
+            weight = "_weight"
+        df = df.withColumn("_detrended", F.col("cost") - F.col("trend"))
+        df = _loess(df, "_detrended", weight, SEASON_HALF, period, ordered, "_cycle")
+        for name, source, half in (("_m1", "_cycle", period // 2), ("_m2", "_m1", period // 2), ("_m3", "_m2", 1)):
+            df = _moving(df, source, half, ordered, name)
+        df = df.withColumn("_m3", F.coalesce("_m3", F.last("_m3", True).over(before), F.first("_m3", True).over(after), F.lit(0.0)))
+        df = _loess(df, "_m3", None, LOW_HALF, 1, ordered, "_low")
+        df = df.withColumn("seasonal", F.col("_cycle") - F.col("_low")).withColumn("_rest", F.col("cost") - F.col("seasonal"))
+        df = _loess(df, "_rest", weight, TREND_HALF, 1, ordered, "trend")
+        df = df.drop("_detrended", "_cycle", "_m1", "_m2", "_m3", "_low", "_rest")
+    return df.drop("_weight")
+
+
 def with_expected(series: DataFrame, keys: list[str], method: str = "stl_mad") -> DataFrame:
     """Expected value per point.
 
     `stl_mad` needs a decomposition library; without one its stated substitute applies: the
-    median of the seven rows centred on the point. `mad` takes the series median, `zscore` its
-    mean.
+    median of the seven rows centred on the point. `stl` is the decomposition itself (`decompose`) for series of two
+    seasons or more, and that median below. `mad` takes the series median, `zscore` its mean.
     """
     whole = _parts(keys)
-    if method == "stl_mad":
+    if method == "stl":
+        series = decompose(series, keys)
+        near = F.percentile("cost", 0.5).over(whole.orderBy("period").rowsBetween(-3, 3))
+        own = F.col("seasonal") + F.col("trend")
+        expected = F.when(F.count(F.lit(1)).over(whole) >= 2 * PERIOD, own).otherwise(near)
+    elif method == "stl_mad":
         near = whole.orderBy("period").rowsBetween(-3, 3)
         expected = F.percentile("cost", 0.5).over(near)
     elif method == "zscore":
@@ -42,7 +123,7 @@ def with_expected(series: DataFrame, keys: list[str], method: str = "stl_mad") -
     n = F.count(F.lit(1)).over(whole)
     warm = F.col("n") < MIN_HISTORY
     return (series.withColumns({"n": n, "e": expected})
-            .withColumn("expected", F.when(warm, F.col("cost")).otherwise(F.col("e"))).drop("e")
+            .withColumn("expected", F.when(warm, F.col("cost")).otherwise(F.col("e"))).drop("e", "seasonal", "trend")
             .withColumn("residual", F.col("cost") - F.col("expected")))
 
 

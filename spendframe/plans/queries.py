@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from spendframe.functions import columns as cols, focus
 from spendframe.operators import (
     allocation as al, anomaly as an, budget as bu, forecast as fc, kpi, levers, normalize as nz, optimize as op,
-    rollups as ru, validate as va,
+    rollups as ru, seasonal as sn, validate as va,
 )
 from spendframe.operators.scope import DIMENSIONS, Scope, months_back
 from spendframe.plans import nightly, sinks
@@ -431,6 +431,8 @@ EV = ["event_type"]
 QUERIES["D01_rolling_median"] = _events(lambda s: r6(an.with_expected(s, EV).select("period", *EV, "cost", "expected")))
 on_charges("D02_stl_substitute", lambda c: r6(an.with_expected(
     ru.daily_grain(c, "ServiceCategory"), ["ServiceCategory"]).select("period", "ServiceCategory", "expected")))
+on_charges("D02_stl", lambda c: rounded(an.detect(
+    ru.daily_grain(c, "ServiceCategory"), ["ServiceCategory"], "stl").select("period", "ServiceCategory", "expected", "is_anomaly"), 4, "expected"))
 QUERIES["D03_zscore"] = _events(lambda s: r6(an.detect(s, EV, "zscore").select("period", *EV, "expected", "score")))
 QUERIES["D04_mad"] = _events(lambda s: r6(an.detect(s, EV, "mad").select("period", *EV, "expected", "score")))
 QUERIES["D05_dual_test"] = _events(lambda s: an.detect(s, EV, threshold=2.5, min_deviation_pct=20.0, min_cost=100.0)
@@ -475,6 +477,17 @@ on_series("F05_linear", _model("linear"))
 on_series("F06_holt_winters_substitute", _model("holt_winters"))
 on_series("F07_sarima_substitute", _model("sarima"))
 on_series("F08_ensemble", _model("ensemble"))
+
+
+def _seasonal(points: Callable[..., DataFrame], *parameters: str) -> Callable[[DataFrame], DataFrame]:
+    def run(h: DataFrame) -> DataFrame:
+        out = points(h, SERIES, HORIZON).withColumn("step", F.col("step").cast("bigint"))
+        return rounded(r2(out, "sigma", "yhat"), 6, *parameters)
+    return run
+
+
+on_series("F06_holt_winters", _seasonal(sn.holt_winters, "alpha", "beta", "gamma", "phi"))
+on_series("F07_seasonal_arima", _seasonal(sn.arima, "ar", "ma", "seasonal_ma"))
 on_series("F09_residual_interval", lambda h: r2(fc.with_interval(
     fc.forecast_points(h, SERIES, HORIZON, "linear")).select(*SERIES, "period", "lo80", "hi80", "lo95", "hi95")))
 on_series("F10_band_repair", lambda h: r2(r6(fc.repair_bands(fc.with_interval(
