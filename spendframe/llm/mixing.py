@@ -17,8 +17,8 @@ from .common import fresh, rank_in, stored
 WEIGHTS = (1, 2, 3)
 MAX_PASSES = 3
 SEED = 20
-#: The knapsack works on budgets of at most this many words, and on so many distinct sizes.
-KNAPSACK_WORDS, KNAPSACK_SIZES = 1 << 16, 400
+#: The knapsack works on budgets of at most this many words.
+KNAPSACK_WORDS = 1 << 16
 
 
 def words(text: str = "text") -> Column:
@@ -48,29 +48,28 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int =
     return filled.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("weight") * final).alias("target"))
 
 
-def fitted(counts: np.ndarray, sizes: np.ndarray, budget: int, words_most: int = KNAPSACK_WORDS,
-           sizes_most: int = KNAPSACK_SIZES) -> np.ndarray:
-    """How many documents of each size to take so that the words come as near `budget` as can be from below.
+def fitted(counts: np.ndarray, sizes: np.ndarray, budget: int, words_most: int = KNAPSACK_WORDS) -> np.ndarray:
+    """How many documents of each size to take so that the words come near `budget` from below.
 
     An even share of every size leaves less than one document of each; these are given out from the largest
-    size down until the rest fits the knapsack, whose reachable sums are bits of one integer.
+    size down until the rest fits the knapsack, which takes the largest sum within the rest that all sizes left can reach. Its
+    reachable sums are bits of one integer. The words miss the best possible sum by less than the largest size.
     """
     total = int((counts * sizes).sum())
     if budget >= total:
         return counts.copy()
     taken = np.array([int(c) * budget // total for c in counts.tolist()], dtype=np.int64)
     rest = budget - int((taken * sizes).sum())
-    most = max(words_most, int(sizes.max(initial=0)))
     for i in np.argsort(-sizes, kind="stable"):
-        if rest <= most:
+        if rest <= words_most:
             break
-        more = min(int(counts[i] - taken[i]), (rest - most) // int(sizes[i]) + 1, rest // int(sizes[i]))
+        more = min(int(counts[i] - taken[i]), (rest - words_most) // int(sizes[i]) + 1, rest // int(sizes[i]))
         taken[i] += more
         rest -= more * int(sizes[i])
     free = counts - taken
     usable = [i for i in np.argsort(-sizes, kind="stable") if free[i] and 0 < sizes[i] <= rest]
-    step = max(1, -(-len(usable) // sizes_most))
-    usable = usable[:-sizes_most // 2:step] + usable[-sizes_most // 2:] if step > 1 else usable
+    if rest > words_most:  # no document left fits into the rest
+        return taken
     # Each entry adds `k` documents of one size: powers of two make every number up to the count.
     mask, reach, trail = (1 << (rest + 1)) - 1, 1, []
     for i in usable:
