@@ -22,7 +22,12 @@ UNDETERMINED = "und"
 
 FIELDS = "lang_pred string, score double, rejected boolean"
 _LETTERS = bytes(i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile("[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    """A character of the Unicode letter categories; fractions, superscripts and number signs are none."""
+    return _LETTER.search(text) is not None or any(map(str.isalpha, text))
 
 
 def held_out(doc_id: Column | str = "doc_id", fold: int = 2, folds: int = 4) -> Column:
@@ -44,9 +49,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int =
     """
     known = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    first = Window.partitionBy("lang").orderBy("h")
-    chosen = (known.groupBy("lang", "h").count().withColumn("place", F.row_number().over(first))
-              .filter(F.col("place") <= rows).select("lang", "h"))
+    # The smallest hashes of each part of a language first, so that no task gathers all texts of one language.
+    part = F.pmod(F.shiftright("h", 8), F.lit(256))
+    for keys in (["lang", part], ["lang"]):
+        first = Window.partitionBy(*keys).orderBy("h")
+        base = known.groupBy("lang", "h").count() if len(keys) > 1 else chosen
+        chosen = base.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= rows).select("lang", "h")
     sample = (known.join(F.broadcast(chosen), ["lang", "h"], "left_semi")  # languages x rows at most
               .groupBy("lang", "h").agg(F.min(F.substring("text", 1, row_bytes)).alias("text")))
     found: dict[str, list[bytes]] = {}
@@ -73,7 +81,7 @@ class Classifier:
         return sorted((sum(len(coder.compress(b)) for b in blocks), lang) for lang, coder in self.coders.items())
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if not text or not self.coders or not _LETTER.search(text):
+        if not text or not self.coders or not has_letter(text):
             return UNDETERMINED, 0.0, True
         ranked = self.sizes(normalised(text))
         if len(ranked) == 1:
