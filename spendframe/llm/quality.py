@@ -1,9 +1,10 @@
 """Quality rules with risk-controlled thresholds.
 
 Fixed base rules reject first. Further rules reject a document whose value is above a cutoff. The cutoffs come from labelled
-good documents: in every stratum a cutoff is admissible if the exact binomial upper bound of its false
-rejections, at a confidence shared by all cutoffs, rules and strata tried, is within the rule's part of the
-allowed risk. The strictest admissible cutoff is used, and none where the labels can't prove one.
+good documents, by fixed-sequence testing in every stratum: an order of steps, set before any label is seen, adds the most lenient
+cutoff of each rule and then tightens the rules in turn. A step holds if the exact binomial upper bound of what all rules together
+falsely reject after it is within the risk; the steps before the first one that fails are taken. A sequence needs no
+correction within itself, so the doubt is shared by the strata alone. Where the labels prove nothing, no rule rejects.
 """
 
 from __future__ import annotations
@@ -127,16 +128,23 @@ def upper_bound(k: int, n: int, doubt: float) -> float:
     return high
 
 
+def steps() -> list[tuple[str, float]]:
+    """(rule, cutoff) in the order of testing: the rules in turn, each from its most lenient cutoff on."""
+    most = max(map(len, RULES.values()))
+    return [(rule, cuts[-1 - j]) for j in range(most) for rule, cuts in RULES.items() if j < len(cuts)]
+
+
 def calibrate(labelled: DataFrame, stratum: str, risk: float = RISK, doubt: float = DOUBT) -> DataFrame:
     """(stratum, n_good, and one cutoff per rule, null for none) from good documents with their counts.
 
-    Documents are summed to one row per stratum before anything else happens; that row, with a count for every cutoff
-    tried, is all that is looked at. A null stratum is one of its own.
+    Rows with equal `print` are copies of one text and count once in a stratum: the bound is that of independent documents. Rows
+    are summed to one row per stratum before anything else happens; that row, with a count for every step, is all that is looked
+    at. A null stratum is one of its own.
     """
-    found = values()
-    tried = [(rule, cut) for rule, cuts in RULES.items() for cut in cuts]
-    sums = labelled.select(F.col(stratum).alias("stratum"), *[v.alias(r) for r, v in found.items()]).groupBy("stratum").agg(
-        F.count("*").alias("n_good"), *[F.count_if(F.col(rule) > cut).alias(f"{rule}_{i}") for i, (rule, cut) in enumerate(tried)])
+    found, order = values(), steps()
+    first = F.array_min(F.array_compact(F.array(*[F.when(found[rule] > cut, F.lit(i)) for i, (rule, cut) in enumerate(order)])))
+    distinct = labelled.select(F.col(stratum).alias("stratum"), "print", first.alias("first")).groupBy("stratum", "print").agg(F.min("first").alias("first"))
+    sums = distinct.groupBy("stratum").agg(F.count("*").alias("n_good"), *[F.count_if(F.col("first") <= i).alias(f"_{i}") for i in range(len(order))])
     # One row per stratum: how many there are sets the correction for multiple tests.
     sums = sums.withColumn("strata", F.count("*").over(Window.partitionBy()))
 
@@ -144,11 +152,11 @@ def calibrate(labelled: DataFrame, stratum: str, risk: float = RISK, doubt: floa
         for frame in frames:
             out = []
             for row in frame.to_dict("records"):
-                each, allowed, chosen = doubt / (len(tried) * row["strata"]), risk / len(RULES), dict.fromkeys(RULES)
-                for i, (rule, cut) in enumerate(tried):
-                    rejected = int(row[f"{rule}_{i}"])
-                    if chosen[rule] is None and binomial_cdf(rejected, int(row["n_good"]), allowed) <= each:
-                        chosen[rule] = cut
+                chosen = dict.fromkeys(RULES)
+                for i, (rule, cut) in enumerate(order):
+                    if binomial_cdf(int(row[f"_{i}"]), int(row["n_good"]), risk) > doubt / row["strata"]:
+                        break
+                    chosen[rule] = cut
                 out.append((row["stratum"], int(row["n_good"]), *chosen.values()))
             yield pd.DataFrame(out, columns=["stratum", "n_good", *RULES]).astype({r: "float64" for r in RULES})
 
@@ -161,10 +169,11 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
     A document is good for calibration if it passes the base rules and none of its labels is below 1; documents without a
     label calibrate nothing. Null texts have counts of 0 and fail the base. Strata with too few labels reject nothing
-    beyond the base. Repeated rows are judged alike, and each counts in the calibration.
+    beyond the base. Repeated rows and copies are judged alike, and count once in the calibration.
     """
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.col(text).alias("text"))
-    rows = stored(flat(measured(slim), "counts", "doc_id", "stratum"), "counts")
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.col(text).alias("text"),
+                       F.xxhash64(text).alias("print"))
+    rows = stored(flat(measured(slim), "counts", "doc_id", "stratum", "print"), "counts")
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter(F.col("quality") >= 1)
     cutoffs = calibrate(rows.filter(~base_failed()).join(good, "doc_id", "left_semi"), "stratum", risk, doubt)
     joined = rows.alias("d").join(stored(cutoffs, "cutoffs").alias("c"), F.col("d.stratum").eqNullSafe(F.col("c.stratum")), "left")
