@@ -575,6 +575,9 @@ for _id, _slug in {"O01": "commitment_gap", "O02": "commitment_waste", "O03": "i
                    "O10": "storage_tiering", "O11": "ai_growth", "O12": "untagged_flag"}.items():
     add(f"{_id}_{_slug}", f"SELECT {OC} FROM opps WHERE det = '{_id}'", OPPS)
 add("O13_detect_all", f"SELECT {OC} FROM opps", OPPS)
+add("O14_idle_examples", """SELECT ResourceType, COUNT(DISTINCT ResourceId) AS resources, string_agg(DISTINCT ResourceId, ',' ORDER BY ResourceId) AS resource_ids
+FROM charges WHERE ConsumedQuantity = 0 AND EffectiveCost > 0 AND ChargeCategory = 'Usage' AND ResourceId IS NOT NULL
+  AND ResourceType IN ('Volume', 'LoadBalancer', 'IpAddress', 'Gateway', 'Snapshot') GROUP BY 1""")
 add("O14_snapshot_rows", """SELECT DATE '2001-09-30' AS as_of, lever_id, cloud, scope, monthly_savings, annual_savings,
 CASE WHEN det NOT IN ('O01', 'O11') THEN ROUND(ROUND(spend, 2), 1) END AS evidence_spend, resource_count FROM opps""", OPPS)
 add("O15_filtered", """SELECT COUNT(*) AS count, ROUND(COALESCE(SUM(annual_savings), 0), 2) AS total_annual_savings FROM opps

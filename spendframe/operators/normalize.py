@@ -47,15 +47,19 @@ def fold_tag_key(key: Column) -> Column:
     return F.translate(F.lower(F.regexp_replace(key, r"^\s+|\s+$", "")), "- ", "__")
 
 
-def canonical_tag_key(key: Column) -> Column:
-    """The canonical key a raw key folds onto, else null."""
-    folded = fold_tag_key(key)
+def _canonical(folded: Column) -> Column:
+    """The canonical key a folded key stands for, else null."""
     out = F.when(folded.isin(focus.CANONICAL_TAGS), folded)
     for tag, aliases in focus.TAG_ALIASES.items():
         out = out.when(folded.isin(aliases), F.lit(tag))
     return out
 
 
+def canonical_tag_key(key: Column) -> Column:
+    """The canonical key a raw key folds onto, else null."""
+    return _canonical(fold_tag_key(key))
+
+
 def explode_tags(df: DataFrame, prefix: str = "tag_") -> DataFrame:
     """`Tags` (map or JSON text) to one column per canonical tag.
 
@@ -67,16 +71,15 @@ def explode_tags(df: DataFrame, prefix: str = "tag_") -> DataFrame:
     parsed = F.col("Tags")
     if not isinstance(df.schema["Tags"].dataType, T.MapType):
         parsed = F.from_json(parsed, "map<string,string>")
-    folded = F.transform(
-        F.map_entries(parsed),
-        lambda e: F.struct(canonical_tag_key(e["key"]).alias("tag"), e["value"].cast("string").alias("value")),
-    )
-    usable = F.filter(folded, lambda e: e["tag"].isNotNull() & (e["value"] != "") & (e["value"] != "null"))
+    present = F.filter(F.map_entries(parsed), lambda e: ~e["value"].cast("string").isin("", "null"))
+    # A key is folded once; everything after looks at the folded text.
+    folded = F.transform(present, lambda e: F.struct(fold_tag_key(e["key"]).alias("key"), e["value"].cast("string").alias("value")))
+    named = F.filter(F.transform(folded, lambda e: F.struct(_canonical(e["key"]).alias("tag"), e["value"].alias("value"))), lambda e: e["tag"].isNotNull())
 
     def last(tag: str) -> Column:
-        return F.try_element_at(F.filter("_tags", lambda e: e["tag"] == tag), F.lit(-1))["value"]
+        return F.get("_tags.value", (F.array_position("_tags.tag", tag) - 1).cast("int"))
 
-    return df.withColumn("_tags", usable).withColumns({
+    return df.withColumn("_tags", F.reverse(named)).withColumns({
         f"{prefix}{tag}": F.coalesce(last(tag), F.lit(focus.UNALLOCATED)) for tag in focus.CANONICAL_TAGS
     }).drop("_tags")
 

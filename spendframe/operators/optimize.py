@@ -1,9 +1,9 @@
 """Rule-based savings opportunities in one pass over the charges.
 
-Each charge row is tagged with the detectors it matches; the tags are exploded and summed per
-(detector, group, cloud, month or resource). That first aggregate has a map-side part, so a
-resource, cloud or detector holding much of the data arrives as few rows. Everything after
-works on detector groups (tens of rows).
+Charges are summed per cloud, resource type, resource and month first, with a conditional sum for
+each detector. That aggregate has a map-side part, so a resource, cloud or detector holding much of
+the data arrives as few rows. Only its rows are dealt to the detectors they matter to and summed per
+(detector, group, cloud, month). Everything after works on detector groups (tens of rows).
 """
 
 from __future__ import annotations
@@ -59,44 +59,55 @@ def _tags(prefix: str = "tag_") -> dict[str, Column]:
     }
 
 
+def _summed(charges: DataFrame, tags: dict[str, Column]) -> DataFrame:
+    """One row per cloud, resource type, resource and month: per tag whether a row has it, and its sums."""
+    rows = charges.select("ProviderName", "ResourceType", "ResourceId", month().alias("m"), COST, LIST, "ConsumedQuantity",
+                          *[cond.alias(f"_is_{tag}") for tag, cond in tags.items()])
+    hit = {tag: F.col(f"_is_{tag}") for tag in tags}
+    sums = [F.bool_or(h).alias(f"_has_{tag}") for tag, h in hit.items()] + [F.sum(F.when(h, F.col(COST))).alias(f"_cost_{tag}") for tag, h in hit.items()]
+    extra = [F.sum(F.when(hit[tag], F.col(of))).alias(f"_{name}") for tag, of, name in (("O01", LIST, "list"), ("O06", "ConsumedQuantity", "qty")) if tag in hit]
+    return rows.groupBy("ProviderName", "ResourceType", "ResourceId", "m").agg(*sums, *extra)
+
+
+def _per_resource(report: DataFrame, tags: list[str]) -> DataFrame:
+    """What has to be decided per resource: which ones stay, and where each counts once (`_new_`).
+
+    O06 keeps a resource when any of its months reaches 648 hours, with all its months. A resource counts in the
+    first of its rows in a group, so distinct counts are plain sums afterwards. One shuffle by resource
+    serves both; a resource is a few rows by now.
+    """
+    if "O06" in tags:
+        hours = F.sum("_qty").over(Window.partitionBy("ResourceId", "m"))
+        peak = F.max(F.when(F.col("_has_O06"), F.col("_hours"))).over(Window.partitionBy("ResourceId"))
+        report = report.withColumn("_hours", hours).withColumn("_has_O06", F.col("_has_O06") & (peak >= ALWAYS_ON_HOURS)).drop("_hours")
+    own = F.struct("m", "ProviderName", "ResourceType")
+    for tag in (t for t in COUNTED if t in tags):
+        group = {"O03": ["ResourceType"]}.get(tag, ["ProviderName"] if tag[:3] in PER_CLOUD else [])
+        has = F.col(f"_has_{tag.rstrip('r')}")
+        first = F.min(F.when(has, own)).over(Window.partitionBy("ResourceId", *group)).eqNullSafe(own)
+        report = report.withColumn(f"_new_{tag}", (has & first & F.col("ResourceId").isNotNull()).cast("int"))
+    return report
+
+
 def _tagged(charges: DataFrame, detectors: list[str]) -> DataFrame:
-    """Sums per tag, group, cloud, month and resource, as far as the tag needs them.
+    """One row per tag that a row of the summed charges has, with its sums.
 
     The tag `_` marks the months of the whole frame; every row carries it.
     """
     tags = {tag: cond for tag, cond in _tags().items() if tag[:3] in detectors}
-    hits = F.array(F.lit("_"), *[F.when(cond, F.lit(tag)) for tag, cond in tags.items()])
-    tag = F.col("tag")
-    rows = charges.select(
-        F.explode(hits).alias("tag"), "ProviderName", "ResourceType", "ResourceId", month().alias("m"),
-        COST, LIST, "ConsumedQuantity").filter("tag is not null")
-    # As few keys as possible per exploded row; detector and group follow from them afterwards.
-    sums = rows.groupBy(
-        "tag",
-        F.when(~tag.isin("_", "O12t"), F.col("ProviderName")).alias("cloud"),
-        F.when(tag == "O03", F.col("ResourceType")).alias("kind"),
-        F.when(tag.isin("_", "O01", "O06", "O11"), F.col("m")).alias("m"),
-        F.when(tag.isin(COUNTED), F.col("ResourceId")).alias("resource"),
-    ).agg(F.sum(COST).alias("cost"), F.sum(LIST).alias("list"), F.sum("ConsumedQuantity").alias("qty"))
-    det = F.when(tag == "_", "_").otherwise(tag.substr(1, 3))
-    return sums.withColumn("det", det).withColumn(
-        "grp", F.when(F.col("det") == "O03", F.col("kind")).when(F.col("det").isin(PER_CLOUD), F.col("cloud"))).drop("kind")
-
-
-def _per_resource(sums: DataFrame, detectors: list[str]) -> DataFrame:
-    """What has to be decided per resource: which ones stay, and where each counts once.
-
-    O06 keeps a resource when any of its months reaches 648 hours, with all its months. The
-    first row of a resource in its group carries `new`, so distinct counts are plain sums
-    afterwards. One shuffle by resource serves both; a resource is a few rows by now.
-    """
-    if "O06" in detectors:
-        per_month = F.sum("qty").over(Window.partitionBy("det", "resource", "m"))
-        peak = F.max("_hours").over(Window.partitionBy("det", "resource"))
-        sums = (sums.withColumn("_hours", per_month).withColumn("_peak", peak)
-                .filter((F.col("det") != "O06") | (F.col("_peak") >= ALWAYS_ON_HOURS)).drop("_hours", "_peak"))
-    first = F.row_number().over(Window.partitionBy("det", "resource", "grp").orderBy("m")) == 1
-    return sums.withColumn("new", (F.col("resource").isNotNull() & first).cast("int"))
+    report = _per_resource(_summed(charges, {tag: cond for tag, cond in tags.items() if tag != "O01r"}), list(tags))
+    types = dict(charges.dtypes)
+
+    def entry(tag: str) -> Column:
+        own = tag.rstrip("r")
+        values = {"cost": F.col(f"_cost_{own}") if own in tags else F.lit(None).cast(types[COST]),
+                  "list": F.col("_list") if own == "O01" else F.lit(None).cast(types[LIST]),
+                  "new": F.col(f"_new_{tag}") if tag in COUNTED else F.lit(0)}
+        return F.struct(F.lit(tag).alias("tag"), *[v.alias(k) for k, v in values.items()])
+
+    hits = F.array(entry("_"), *[F.when(F.col(f"_has_{tag.rstrip('r')}"), entry(tag)) for tag in tags])
+    return report.select("ProviderName", "ResourceType", "m", F.explode(F.array_compact(hits)).alias("e")).select(
+        "ProviderName", "ResourceType", "m", "e.*")
 
 
 def detector_groups(charges: DataFrame, detectors: list[str] = DETECTORS) -> DataFrame:
@@ -104,11 +115,14 @@ def detector_groups(charges: DataFrame, detectors: list[str] = DETECTORS) -> Dat
 
     `series` is the month list of the two detectors that look at time (O01, O11).
     """
-    sums = _per_resource(_tagged(charges, detectors), detectors)
-    monthly = F.col("tag").isin("O01", "O11")
+    tag, det = F.col("tag"), F.col("det")
+    sums = _tagged(charges, detectors).withColumn("det", F.when(tag == "_", "_").otherwise(tag.substr(1, 3)))
+    monthly = tag.isin("O01", "O11")
     # From here on the rows are a report: detector, group, cloud and, for some, month.
-    report = sums.groupBy("det", "grp", "tag", "cloud", F.when(F.col("tag") != "O06", F.col("m")).alias("m")).agg(
-        F.sum("cost").alias("cost"), F.sum("list").alias("list"), F.sum("new").alias("new"))
+    report = sums.groupBy(
+        "det", F.when(det == "O03", F.col("ResourceType")).when(det.isin(PER_CLOUD), F.col("ProviderName")).alias("grp"), "tag",
+        F.when(~tag.isin("_", "O12t"), F.col("ProviderName")).alias("cloud"), F.when(tag.isin("_", "O01", "O11"), F.col("m")).alias("m"),
+    ).agg(F.sum("cost").alias("cost"), F.sum("list").alias("list"), F.sum("new").alias("new"))
     entry = F.when(monthly, F.struct("m", F.col("cost").cast("double").alias("cost"), F.col("list").cast("double").alias("list")))
     dollars = ~F.col("tag").isin("O01r", "O12t", "_")
     groups = report.groupBy("det", "grp").agg(
@@ -281,13 +295,14 @@ def ranked(opportunities: DataFrame) -> DataFrame:
     return opportunities.orderBy(F.desc("annual_savings"), "lever_id", "cloud", "scope")
 
 
-def idle_examples(charges: DataFrame, limit: int = 5) -> DataFrame:
-    """Up to five resource ids per idle resource type, the first in id order."""
+def idle_examples(charges: DataFrame, limit: int | None = None) -> DataFrame:
+    """The resource ids of each idle resource type in id order, all or the first `limit`."""
     ids = (charges.filter(_tags()["O03"] & F.col("ResourceId").isNotNull())
            .select("ResourceType", "ResourceId").distinct())
-    first = Window.partitionBy("ResourceType").orderBy("ResourceId")
-    return (ids.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= limit)
-            .groupBy("ResourceType").agg(F.array_sort(F.collect_list("ResourceId")).alias("resource_ids")))
+    if limit is not None:  # a row number limit is cut per partition before the shuffle
+        first = Window.partitionBy("ResourceType").orderBy("ResourceId")
+        ids = ids.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= limit)
+    return (ids.groupBy("ResourceType").agg(F.array_sort(F.collect_list("ResourceId")).alias("resource_ids")))
 
 
 def snapshot(opportunities: DataFrame, as_of, generated_at) -> DataFrame:

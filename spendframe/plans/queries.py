@@ -529,6 +529,10 @@ for _id, _slug in O_NAMES.items():
 on_charges("O13_detect_all", lambda c: op.detect(c).select(*O_COLUMNS))
 
 
+on_charges("O14_idle_examples", lambda c: op.idle_examples(c).select(
+    "ResourceType", F.size("resource_ids").cast("bigint").alias("resources"), F.array_join("resource_ids", ",").alias("resource_ids")))
+
+
 @query("O14_snapshot_rows")
 def _(spark, sf):
     rows = op.snapshot(op.detect(tc.charges(spark, sf)), AS_OF, dt.datetime(2001, 9, 30, 3, 45))

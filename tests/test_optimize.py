@@ -40,8 +40,9 @@ def test_idle_types_span_clouds(charges):
     assert {k[1] for k in out} == {"U4", "U5", "U6", "U7", "U8"}
     assert {k[2] for k in out} == {"AWS, GCP, Private"}
     assert {r["resource_count"] for r in out.values()} == {1}
-    examples = op.idle_examples(charges(*[dict(ConsumedQuantity=0.0, ResourceType="Volume", ResourceId=f"v{i}") for i in range(9)]))
-    assert examples.first()["resource_ids"] == ["v0", "v1", "v2", "v3", "v4"]
+    idle = charges(*[dict(ConsumedQuantity=0.0, ResourceType="Volume", ResourceId=f"v{i}") for i in range(9)])
+    assert op.idle_examples(idle).first()["resource_ids"] == [f"v{i}" for i in range(9)]
+    assert op.idle_examples(idle, 5).first()["resource_ids"] == ["v0", "v1", "v2", "v3", "v4"]
 
 
 def test_always_on_keeps_every_month_of_a_resource(charges):

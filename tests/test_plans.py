@@ -134,3 +134,11 @@ def test_validation_is_grouped(charges):
 def test_writes_split_hot_partitions(spark, path):
     rows = wh.table(spark, path).drop("charge_date")
     assert "REBALANCE" in plan(sinks.laid_out(rows))
+
+
+def test_detectors_sum_before_they_multiply_rows(charges):
+    text = plan(op.detect(charges))
+    assert scans(op.detect(charges)) == 1
+    # Read upwards from the scan: the first exchange comes before any Generate.
+    below = text[:text.index("FileScan parquet")]
+    assert "Generate" not in below[below.rindex("Exchange"):]
