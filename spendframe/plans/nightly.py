@@ -8,8 +8,6 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JError
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spendframe.functions.columns import month
@@ -62,7 +60,7 @@ def _landed(spark: SparkSession, name: str, feed: Feed, folder: str, start: dt.d
     """Read one binding and write its landing files; the reason if that fails, whenever it does."""
     try:
         sinks.write_landing(prepare(feed(spark, start, end), name, now), folder)
-    except (PySparkException, Py4JError, OSError, ValueError) as error:
+    except Exception as error:  # a feed is a caller's code: whatever it raises ends this binding alone
         return (str(error).splitlines() or [type(error).__name__])[0]
     return None
 

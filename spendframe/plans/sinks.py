@@ -1,7 +1,7 @@
 """Idempotent writes: landing files, window replacement, snapshots.
 
 A table is a folder of versions and a folder of numbered manifests. A replacement writes its rows as a new version, then
-creates the next manifest in one rename. The manifest names the versions in order and the windows each of them replaced:
+creates the next manifest exclusively: of two writers one is first, and the other reads again and takes the number after. The manifest names the versions in order and the windows each of them replaced:
 readers take a version's rows without the windows of later ones. So a reader sees the table before or after a replacement,
 never in between; a run that dies leaves a version that no manifest names; and what the driver does depends on the
 number of bindings, not on days or files.
@@ -10,15 +10,23 @@ number of bindings, not on days or files.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from spendframe.functions import focus
 
 PARTITIONS = ["charge_date", "_binding"]
+#: Times a writer starts again from the newest manifest when others keep coming first.
+TRIES = 50
+
+
+class Conflict(OSError):
+    """Another writer created the manifest first."""
 
 
 def typed(rows: DataFrame) -> DataFrame:
@@ -76,17 +84,32 @@ class Manifests:
             stream.close()
 
     def publish(self, number: int, versions: list[dict]) -> None:
-        """Create manifest `number`, whole or not at all; an error if another writer was first."""
-        draft = self._path(f"_manifests/_draft-{uuid.uuid4().hex}")
-        stream = self._fs.create(draft, False)
+        """Create manifest `number`, whole or not at all; `Conflict` if another writer was first.
+
+        Each kind of store has its own exclusive step: a hard link on local disks, a rename that never overwrites on HDFS, and
+        on object stores a create that fails if the object is there, which shows the object only when it is complete.
+        """
+        body, name = json.dumps(versions).encode(), self._path(f"_manifests/{number:010d}.json")
+        scheme = self._fs.getUri().getScheme()
+        draft = name if scheme not in ("file", "hdfs", "viewfs") else self._path(f"_manifests/_draft-{uuid.uuid4().hex}")
         try:
-            stream.write(json.dumps(versions).encode())
+            self._fs.mkdirs(name.getParent())
+            stream = self._fs.create(draft, False)
+            try:
+                stream.write(body)
+            finally:
+                stream.close()
+            if scheme == "file":
+                os.link(draft.toUri().getPath(), name.toUri().getPath())
+            elif draft is not name and not self._fs.rename(draft, name):
+                raise FileExistsError
+        except (Py4JJavaError, FileExistsError) as error:
+            if self._fs.exists(name):
+                raise Conflict(f"{self.target}: manifest {number} is another run's") from error
+            raise
         finally:
-            stream.close()
-        name = self._path(f"_manifests/{number:010d}.json")
-        if self._fs.exists(name) or not self._fs.rename(draft, name):
-            self._fs.delete(draft, False)
-            raise OSError(f"{self.target} was replaced by another run meanwhile")
+            if draft is not name:
+                self._fs.delete(draft, False)
 
     def drop(self, folder: str) -> None:
         self._fs.delete(self._path(folder), True)
@@ -142,13 +165,19 @@ def replace_windows(spark: SparkSession, rows: DataFrame, target: str, by: list[
         if windows is None:
             found = spark.read.schema(rows.schema).parquet(path).groupBy(key).agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
             windows = [{"key": r[key], "lo": str(r["lo"]), "hi": str(r["hi"])} for r in found.collect()]
-        number, versions = manifests.latest()
-        later, kept = list(windows), []
-        for version in reversed(versions):
-            if not _covered(version, later):
-                kept.insert(0, version)
-                later += version["windows"]
-        manifests.publish(number + 1, [*kept, {"folder": folder, "windows": windows}])
+        for left in reversed(range(TRIES)):
+            number, versions = manifests.latest()
+            later, kept = list(windows), []
+            for version in reversed(versions):
+                if not _covered(version, later):
+                    kept.insert(0, version)
+                    later += version["windows"]
+            try:
+                manifests.publish(number + 1, [*kept, {"folder": folder, "windows": windows}])
+                break
+            except Conflict:
+                if not left:
+                    raise
     except BaseException:
         manifests.drop(folder)
         raise

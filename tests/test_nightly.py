@@ -1,4 +1,5 @@
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pytest
@@ -101,6 +102,36 @@ def test_two_writers_do_not_lose_each_other(run, spark):
     assert len(run.days()) == 1
 
 
+def test_writers_at_the_same_time_keep_all_windows(run, spark):
+    """Eight runs replace a binding each; whoever comes second at a manifest number reads again and takes the next."""
+    with ThreadPoolExecutor(8) as pool:
+        done = list(pool.map(lambda i: run(**{f"b{i}": feed([f"2024-01-0{i + 1}"])}), range(8)))
+    assert all(r.status == "loaded" for results in done for r in results)
+    assert run.days() == [(f"b{i}", f"2024-01-0{i + 1}") for i in range(8)]
+    assert sinks.Manifests(spark, run.path).latest()[0] == 8
+
+
+def test_a_writer_that_comes_second_reads_again(run, spark, monkeypatch):
+    publish, others = sinks.Manifests.publish, [feed(["2024-01-07"])]
+
+    def late(self, number, versions):
+        if others:
+            run(other=others.pop())
+        return publish(self, number, versions)
+
+    monkeypatch.setattr(sinks.Manifests, "publish", late)
+    run(own=feed(["2024-01-05"]))
+    assert run.days() == [("other", "2024-01-07"), ("own", "2024-01-05")]
+
+
+def test_a_feed_that_raises_its_own_error_fails_alone(run):
+    def strange(spark, start, end):
+        return {}["account"]
+
+    results = {r.binding: r.status for r in run(bad=strange, good=feed(["2024-01-05"]))}
+    assert results == {"bad": "failed", "good": "loaded"} and run.days() == [("good", "2024-01-05")]
+
+
 def test_all_failed_replaces_nothing(run):
     run(good=feed(["2024-01-05"]))
     results = run(gone=missing, good=feed(["2024-01-06"], EffectiveCost=None))
