@@ -104,47 +104,68 @@ def item_windows(benchmark: DataFrame, text: str = "text", item_id: str = "item_
     return pairs.mapInArrow(run, "words binary, item string")
 
 
+def listed_windows(benchmark: DataFrame, text: str = "text", item_id: str = "item_id", window: int = WINDOW) -> DataFrame:
+    """(window, words, item), stored: a 128-bit key, the word hashes and one item of each pair of a window and an item."""
+    pairs = item_windows(benchmark, text, item_id, window)
+    return stored(pairs.select(F.unhex(F.md5("words")).alias("window"), "words", "item").distinct(), "windows")
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS, name: str = "hits",
-         benchmark_text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """All of `docs` with a struct `name`: n_words, n_hit and the sorted items of which a window occurs.
+         benchmark_text: str = "text", item_id: str = "item_id", listed: DataFrame | None = None) -> DataFrame:
+    """All of `docs` with a struct `name`: n_words, n_hit and the sorted keys of the windows that occur.
 
-    A null or wordless text has no words and no hits. Null item ids have no name and are left out of the items, though
-    their windows count as hits; repeated items count once. An empty benchmark hits nothing.
-    With a benchmark of more than one block, the blocks' hits meet in one row per document first.
+    A null or wordless text has no words and no hits. An empty benchmark hits nothing. Only windows and their keys are broadcast,
+    block by block, never the items that have them, however many share a window. With several blocks each one reads
+    the texts and leaves a row for every text with a hit; texts are not written, and copies share a row.
     """
     spark = docs.sparkSession
-    listed = stored(item_windows(benchmark, benchmark_text, item_id).groupBy("words").agg(
-        F.array_sort(F.collect_set("item")).alias("items")).withColumn("block", F.xxhash64("words")), "windows")
-    n_windows = listed.count()
-    blocks = max(1, -(-n_windows * WINDOW // block_words))
-    out = docs
-    parts = []
-    for b in range(blocks):
+    listed = listed_windows(benchmark, benchmark_text, item_id) if listed is None else listed
+    windows = listed.select("window", "words").distinct().withColumn("block", F.xxhash64("words"))
+    blocks = max(1, -(-windows.count() * WINDOW // block_words))
+
+    def held(b: int):
         # A block is bounded by block_words; the driver and a worker hold one block at a time.
-        rows = sorted(listed.filter(F.pmod("block", F.lit(blocks)) == b).select("words", "items").collect())
-        held = spark.sparkContext.broadcast(([bytes(r.words) for r in rows], [list(r.items) for r in rows]))
-        part = fresh(out, f"_part{b}")
-        out = annotate(out, [text], _lookup(held), "n_words bigint, hits array<int>, items array<string>", part)
-        parts.append(part)
-        if blocks > 1:  # so that no worker holds two blocks at once
-            out = stored(out, "hits")
-            held.unpersist()
-    n_hit = F.size(F.array_distinct(F.flatten(F.array(*[F.col(f"{p}.hits") for p in parts])))).cast("long")
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{p}.items") for p in parts]))))
-    return out.withColumn(name, F.struct(F.col(f"{parts[0]}.n_words").alias("n_words"), n_hit.alias("n_hit"), items.alias("items"))).drop(*parts)
+        rows = sorted(windows.filter(F.pmod("block", F.lit(blocks)) == b).select("words", "window").collect())
+        return spark.sparkContext.broadcast(([bytes(r.words) for r in rows], [bytes(r.window) for r in rows]))
+
+    fields, part = "n_words bigint, hits array<int>, windows array<binary>, digest binary", fresh(docs, "_part")
+    if blocks == 1:
+        out = annotate(docs, [text], _lookup(held(0)), fields, part)
+        return out.withColumn(name, F.struct(F.col(part).n_words.alias("n_words"), F.size(F.col(part).hits).cast("long").alias("n_hit"),
+                                             F.array_sort(F.col(part).windows).alias("windows"))).drop(part)
+    found = None
+    for b in range(blocks):
+        block = held(b)
+        rows = flat(annotate(docs.select(F.col(text).alias("text")), ["text"], _lookup(block), fields, "s"), "s").filter(F.size("hits") > 0)
+        rows = stored(rows.groupBy("digest").agg(F.first("hits").alias("hits"), F.first("windows").alias("windows")), "hits")
+        block.unpersist()
+        found = rows if found is None else found.union(rows)
+    found = found.groupBy("digest").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"),
+        F.array_sort(F.flatten(F.collect_list("windows"))).alias("windows")).alias("f")
+    sized = annotate(docs, [text], _sizes, "n_words bigint, digest binary", part).alias("d")
+    joined = sized.join(found, F.col(f"d.{part}.digest") == F.col("f.digest"), "left")
+    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.struct(
+        F.col(f"d.{part}.n_words").alias("n_words"), F.coalesce("f.n_hit", F.lit(0)).alias("n_hit"),
+        F.coalesce("f.windows", F.array().cast("array<binary>")).alias("windows")).alias(name))
+
+
+def _sizes(texts):
+    for body in texts:
+        yield len(word_hashes(body)), xxhash.xxh3_128_digest(encoded(body))
 
 
 def _lookup(held):
     made: dict[str, Block] = {}
 
     def compute(texts):
-        windows, items = held.value
+        words, keys = held.value
         if not made:
-            made["it"] = Block(windows)
+            made["it"] = Block(words)
         for body in texts:
             hashes = word_hashes(body)
             hit, found = made["it"].find(hashes)
-            yield len(hashes), hit.tolist(), sorted({i for w in found.tolist() for i in items[w] if i is not None})
+            yield len(hashes), hit.tolist(), [keys[w] for w in found.tolist()], xxhash.xxh3_128_digest(encoded(body))
 
     return compute
 
@@ -156,7 +177,20 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document: (doc_id, n_words, n_hit, n_items, items_sha256, contaminated)."""
-    found = flat(hits(docs.select("doc_id", "text"), benchmark), "hits", "doc_id")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    """One row per document: (doc_id, n_words, n_hit, n_items, items_sha256, contaminated).
+
+    Null item ids have no name and are left out of the items, though their windows count as hits; repeated items count once.
+    Windows meet their items once for each distinct set of windows that documents have, so a window that many items share costs
+    its items once, not once in every document.
+    """
+    listed = listed_windows(benchmark)
+    found = flat(hits(docs.select("doc_id", "text"), benchmark, listed=listed), "hits", "doc_id")
+    same = F.sha2(F.array_join(F.transform("windows", F.hex), ","), 256)
+    found = stored(found.withColumn("same", F.when(F.size("windows") > 0, same)), "found")
+    sets = found.filter(F.col("same").isNotNull()).groupBy("same").agg(F.first("windows").alias("windows"))
+    items = sets.select("same", F.explode("windows").alias("window")).join(listed.select("window", "item").filter("item is not null"), "window").groupBy(
+        "same").agg(F.array_sort(F.collect_set("item")).alias("items")).select(
+        "same", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    return found.join(items, "same", "left").select(
+        "doc_id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(b""), 256)).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -276,6 +276,28 @@ def test_decontamination_of_short_items_and_cases(documents, spark, rows):
     assert decontaminate.scan(documents().limit(0), benchmark).count() == 0
 
 
+def test_a_window_that_very_many_items_share(spark):
+    """The window goes out once, without its items; they are counted where it is found."""
+    items = spark.range(100_000).selectExpr("concat('i', id) AS item_id", "'one two three four five six seven eight nine ten' AS text")
+    docs = spark.createDataFrame([(1, "x one two three four five six seven eight nine ten y"), (2, "one two"), (3, None)], "doc_id long, text string")
+    found = {r.doc_id: r for r in decontaminate.scan(docs, items).collect()}
+    names = ",".join(sorted(f"i{i}" for i in range(100_000)))
+    assert (found[1].n_hit, found[1].n_items, found[1].items_sha256) == (10, 100_000, hashlib.sha256(names.encode()).hexdigest())
+    assert found[2].n_items == 0 and not found[3].contaminated
+    assert all(len(r.hits.windows) <= 1 for r in decontaminate.hits(docs, items).collect())
+
+
+def test_blocks_leave_no_texts_behind(spark, monkeypatch):
+    """Five blocks of the benchmark: what is written in between has no text column."""
+    written, plain = [], decontaminate.stored
+    monkeypatch.setattr(decontaminate, "stored", lambda df, name="table": (written.append(df.columns), plain(df, name))[1])
+    benchmark = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(20)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 25}x{j}" for j in range(i % 30))) for i in range(100)], "doc_id long, text string")
+    rows = decontaminate.hits(docs, benchmark, block_words=850).collect()
+    assert {r.doc_id: r.hits.n_hit for r in rows} == {i: (i % 30 if i % 25 < 20 and i % 30 >= 10 else 0) for i in range(100)}
+    assert len(written) == 6 and not any("text" in columns for columns in written)
+
+
 # mixing
 
 def expected_targets(sizes):
