@@ -25,10 +25,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder every executor shares (spark.checkpoint.dir); one of our own only where none is set."""
+    """The folder every executor shares (spark.checkpoint.dir); one of our own only where none is set and all runs in one process."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spendframe-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spendframe-"))
     return context.getCheckpointDir()
 
 
@@ -88,6 +91,7 @@ def annotate(df: DataFrame, inputs: list[str], compute: Callable[..., Iterable[t
 _ARROW = {
     "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(),
     "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()),
+    "array<binary>": pa.list_(pa.binary()),
 }
 
 
