@@ -1,8 +1,8 @@
 """Conformance checks as grouped aggregates.
 
 One wide aggregate counts every rule per group (for an ingest: binding and month); the verdict
-needs nothing else. Only the values and pairs that break a rule are grouped again, to list
-them.
+needs nothing else. Where the offending values are listed, they are part of that aggregate's key (an
+array, empty for a sound row), so counts and values come from one pass over the rows.
 """
 
 from __future__ import annotations
@@ -90,29 +90,52 @@ def enum_samples(df: DataFrame, keys: list[str] = [], most: int | None = None) -
             .agg(F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("sample")))
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+def _offences(df: DataFrame) -> Column:
+    """The values and pairs of a row that break an enum or the subcategory rule; empty for a sound row."""
+    def entry(severity: str, rule: str, column: str, value: Column) -> Column:
+        return F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), F.lit(column).alias("column"), value.alias("value"))
 
-
-def pair_warnings(df: DataFrame, keys: list[str] = []) -> DataFrame:
-    """One warning per distinct subcategory that does not belong to its category."""
-    return (df.filter(_bad_pair()).groupBy(*keys, "ServiceCategory", "ServiceSubcategory")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .select(*keys, F.lit("warning").alias("severity"), F.lit("subcategory").alias("rule"),
-                    F.lit("ServiceSubcategory").alias("column"), "n",
-                    F.concat_ws(" / ", "ServiceCategory", "ServiceSubcategory").alias("sample")))
+    found = [F.when(_outside(c), entry("error", "enum", c, F.col(c).cast("string"))) for c in focus.ENUMS if c in df.columns]
+    if _has_pairs(df):
+        found.append(F.when(_bad_pair(), entry("warning", "subcategory", "ServiceSubcategory", F.concat_ws(" / ", "ServiceCategory", "ServiceSubcategory"))))
+    return F.array_compact(F.array(*found)) if found else F.array().cast(
+        "array<struct<severity:string,rule:string,column:string,value:string>>")
 
 
 def issues(df: DataFrame, keys: list[str] = [], strict: bool = False) -> DataFrame:
-    """All findings, tidy: keys, severity, rule, column, n, sample."""
-    rows = counted(df, keys).select(*keys, F.explode("found").alias("i")).select(*keys, "i.*")
-    samples = enum_samples(df, keys).withColumn("rule", F.lit("enum"))
-    out = _null_safe_join(rows, samples, [*keys, "rule", "column"], "left")
-    if _has_pairs(df):
-        out = out.unionByName(pair_warnings(df, keys))
-    return out.withColumn("severity", F.lit("error")) if strict else out
+    """All findings, tidy: keys, severity, rule, column, n, sample.
+
+    An enum's sample is its offending values in order; every offending pair is a finding of its own. Both and all counts
+    come from one aggregate over the rows.
+    """
+    checks = {rule: n for rule, n in _checks(df.columns).items() if rule[1] not in ("enum", "all_null")}
+    hollow = [c for c in focus.RECOMMENDED if c in df.columns]
+    report = df.withColumn("_bad", _offences(df)).groupBy(*keys, "_bad").agg(
+        F.count(F.lit(1)).alias("_rows"), *[n.alias(f"_c{i}") for i, n in enumerate(checks.values())],
+        *[F.count(c).alias(f"_f{i}") for i, c in enumerate(hollow)])
+
+    def entry(severity: Column, rule: Column, column: Column, n: Column, filled: Column | None = None, value: Column | None = None) -> Column:
+        return F.struct(severity.alias("severity"), rule.alias("rule"), column.alias("column"), n.cast("bigint").alias("n"),
+                        (F.lit(0) if filled is None else filled).cast("bigint").alias("filled"),
+                        (F.lit(None) if value is None else value).cast("string").alias("value"))
+
+    plain = [entry(*map(F.lit, rule), F.col(f"_c{i}")) for i, rule in enumerate(checks)]
+    plain += [entry(F.lit("warning"), F.lit("all_null"), F.lit(c), F.col("_rows"), F.col(f"_f{i}")) for i, c in enumerate(hollow)]
+    absent = missing_columns(df)
+    plain += [entry(F.lit("error"), F.lit("missing_column"), F.lit(c), F.lit(0)) for c in absent if keys]
+    bad = F.transform("_bad", lambda b: entry(b["severity"], b["rule"], b["column"], F.col("_rows"), None, b["value"]))
+    said = F.filter(F.concat(F.array(*plain), bad) if plain else bad, lambda e: (e["n"] > 0) | (e["rule"] == "missing_column"))
+    rows = report.select(*keys, F.explode(said).alias("e")).select(*keys, "e.*")
+    pair = F.when(F.col("rule") == "subcategory", F.col("value"))
+    found = rows.groupBy(*keys, "severity", "rule", "column", pair.alias("_pair")).agg(
+        F.sum("n").alias("n"), F.sum("filled").alias("_filled"), F.array_sort(F.collect_set("value")).alias("_values"))
+    out = found.filter("_filled = 0").select(*keys, F.lit("error").alias("severity") if strict else "severity", "rule", "column", "n",
+                                             F.when(F.size("_values") > 0, F.array_join("_values", ", ")).alias("sample"))
+    if absent and not keys:  # the schema alone tells, rows or none
+        listed = df.sparkSession.createDataFrame([("error", "missing_column", c, 0, None) for c in absent],
+                                                 "severity string, rule string, column string, n bigint, sample string")
+        out = out.unionByName(listed)
+    return out
 
 
 def verdict(df: DataFrame, keys: list[str] = [], strict: bool = False) -> DataFrame:

@@ -142,3 +142,10 @@ def test_detectors_sum_before_they_multiply_rows(charges):
     # Read upwards from the scan: the first exchange comes before any Generate.
     below = text[:text.index("FileScan parquet")]
     assert "Generate" not in below[below.rindex("Exchange"):]
+
+
+def test_issues_read_the_rows_once(charges):
+    df = charges.drop("InvoiceIssuerName")
+    for keys in ([], ["ProviderName"]):
+        assert scans(va.issues(df, keys)) == 1
+    assert {r["rule"] for r in va.issues(df.limit(0)).collect()} == {"missing_column"}
