@@ -259,6 +259,7 @@ class Flat:
     extra: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
 
+# --- fixed values: the field names of vendors with flat rows ---
 FLAT = {
     "cloudability": Flat(
         ("results",), "Cloudability", ("amortized_cost", "amortizedCost"), ("unblended_cost", "unblendedCost"),
@@ -466,6 +467,7 @@ class FlatFinding:
     per_year: bool = False
 
 
+# --- fixed values: the field names of flat recommendations ---
 FLAT_FINDINGS = {
     "cloudhealth": FlatFinding(("nodes",), ("cloud",), ("resourceId",), ("resourceType",), ("estimatedMonthlySavings",),
                                action=("recommendedAction",), action_default="Rightsize"),
@@ -511,6 +513,7 @@ def _budget(period: Column, cloud: Column | str, application: Column, amount: Co
             amount.alias("budget")]
 
 
+# --- fixed values: where clouds' budget documents hold what ---
 #: Cloud -> container, name key, key of the nested amount, its path(s): a number, or units and nanos.
 CLOUD_BUDGETS = {
     "AWS": ("Budgets", "BudgetName", "BudgetLimit", ("$.Amount",)),
@@ -533,6 +536,7 @@ def cloud_budgets(df: DataFrame, cloud: str, today: dt.date) -> DataFrame:
     return records(df, container).select(*_budget(F.lit(today), cloud, label, amount))
 
 
+# --- fixed values: the field names of flat budgets ---
 FLAT_BUDGETS = {
     "cloudability": (("result", "results"), ("startDate", "start_date"), ("vendor",), ("amount", "budgetAmount")),
     "flexera": (("values", "budgets"), ("start_at", "period"), ("vendor",), ("amount", "budget")),
