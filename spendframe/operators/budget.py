@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spendframe.functions.columns import COST, month, usage
+from spendframe.functions.totals import beside_totals
 from spendframe.operators.kpi import with_projection, with_variance
 
 # --- fixed values: dimension -> (charge column, budget column) ---------------------------
@@ -29,57 +30,90 @@ def monthly_actuals(charges: DataFrame) -> DataFrame:
     return actuals(charges).groupBy("period").agg(F.sum(COST).cast("double").alias("actual"))
 
 
+def _planned(budgets: DataFrame) -> DataFrame:
+    """Budget rows in the shape of the monthly report."""
+    return _months(budgets).select("period", "cloud", "application", F.lit(False).alias("observed"), F.lit(0).alias("actual"),
+                                   F.col("budget").cast("double").alias("budget"))
+
+
+def side_by_side(charges: DataFrame, budgets: DataFrame) -> DataFrame:
+    """Facts summed per month, cloud and application, and budget rows below them, for the questions that end in `_of`.
+
+    `observed` tells the two apart. Both meet in the one aggregate of the question, so neither side is joined or read twice.
+    """
+    report = monthly_report(charges).withColumn("observed", F.lit(True)).withColumn("budget", F.lit(None).cast("double"))
+    return report.unionByName(_planned(budgets).withColumn("actual", F.col("actual").cast(report.schema["actual"].dataType)))
+
+
+def variance_of(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Actual against budget per group, whichever side knows it; rows without one of the keys are left out."""
+    sums = rows.dropna(subset=by).groupBy(*by).agg(
+        F.coalesce(F.sum("actual").cast("double"), F.lit(0.0)).alias("actual"), F.coalesce(F.sum("budget"), F.lit(0.0)).alias("budget"))
+    return with_variance(sums)
+
+
 def variance_table(charges: DataFrame, budgets: DataFrame, by: list[str]) -> DataFrame:
-    """Actual against budget per group, whichever side knows it.
+    """As `variance_of`, from charges and a budget table.
 
-    Both sides are aggregated before the full outer join. A grain budgets are not struck at
-    gets budget 0 and status `unknown`.
+    A grain budgets are not struck at gets budget 0 and status `unknown`.
     """
-    actual = actuals(charges)
-    for b in by:
-        actual = actual.withColumn(b, F.col(DIMENSIONS[b][0])).filter(F.col(b).isNotNull())
-    actual = actual.groupBy(*by).agg(F.sum(COST).cast("double").alias("actual"))
-    columns = [DIMENSIONS[b][1] for b in by]
-    if None in columns:
-        both = actual.withColumn("budget", F.lit(0.0))
-    else:
-        planned = _months(budgets).select(*[F.col(c).alias(b) for b, c in zip(by, columns)], "budget")
-        planned = planned.dropna(subset=by).groupBy(*by).agg(F.sum("budget").alias("budget"))
-        both = actual.join(planned, by, "full")
-    filled = both.select(*by, F.coalesce("actual", F.lit(0.0)).alias("actual"),
-                         F.coalesce("budget", F.lit(0.0)).alias("budget"))
-    return with_variance(filled)
+    if None not in [DIMENSIONS[b][1] for b in by]:
+        return variance_of(side_by_side(charges, budgets), by)
+    facts = actuals(charges).select(*[F.col(DIMENSIONS[b][0]).alias(b) for b in by], F.col(COST).alias("actual"))
+    return variance_of(facts.withColumn("budget", F.lit(None).cast("double")), by)
+
+
+def _waterfall(start: Column, steps: Column) -> Column:
+    """The array (position, label, delta, level) of a waterfall: `start`, the `steps` (label, delta) in order, what they lead to."""
+    def entry(position: Column, label: Column, delta: Column, level: Column) -> Column:
+        return F.struct(position.cast("int").alias("position"), label.alias("label"), delta.alias("delta"), level.alias("level"))
+
+    def added(n: Column) -> Column:
+        return start + F.aggregate(F.slice(steps, 1, n), F.lit(0.0), lambda sum_, s: sum_ + F.coalesce(s["delta"], F.lit(0.0)))
+
+    inner = F.transform(steps, lambda s, i: entry(i + 1, s["label"], s["delta"], added(i + 1)))
+    end = added(F.size(steps))
+    return F.concat(F.array(entry(F.lit(0), F.lit("Budget"), start, start)), inner,
+                    F.array(entry(F.size(steps) + 1, F.lit("Forecast"), end, end)))
 
 
 def bridge(budget_total: DataFrame, drivers: DataFrame) -> DataFrame:
     """Waterfall: the budget, each signed driver, the forecast they lead to.
 
-    `budget_total` is one row (budget), `drivers` has (position, label, delta) with positions
-    from 1.
+    `budget_total` is one row (budget), `drivers` has (position, label, delta) with positions from 1. The drivers of
+    a chart are few; they become one array, and each input is read once.
     """
-    first = budget_total.select(F.lit(0).alias("position"), F.lit("Budget").alias("label"),
-                                F.col("budget").alias("delta"))
-    steps = first.unionByName(drivers.select("position", "label", "delta"))
-    last = steps.agg((F.max("position") + 1).alias("position"), F.lit("Forecast").alias("label"),
-                     F.sum("delta").alias("delta"))
-    run = Window.partitionBy().orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    level = F.when(F.col("label") == "Forecast", F.col("delta")).otherwise(F.sum("delta").over(run))
-    return steps.unionByName(last).withColumn("level", level)
+    start = budget_total.select(F.lit(0).alias("position"), F.lit("Budget").alias("label"), F.col("budget").cast("double").alias("delta"))
+    rows = start.unionByName(drivers.select(F.col("position").cast("int").alias("position"), "label", F.col("delta").cast("double").alias("delta")))
+    row = rows.agg(F.array_sort(F.collect_list(F.struct("position", "label", "delta"))).alias("s"))
+    drawn = _waterfall(F.col("s")[0]["delta"], F.slice("s", 2, F.size("s")))
+    return row.select(F.explode(drawn).alias("r")).select("r.*")
+
+
+def variance_bridge(variances: DataFrame, label: str) -> DataFrame:
+    """The waterfall from the whole budget over each group's variance, groups by name; the variance table is made once."""
+    row = variances.agg(F.sum("budget").alias("budget"), F.array_sort(F.collect_list(
+        F.struct(F.col(label).alias("label"), F.col("variance_abs").alias("delta")))).alias("s"))
+    return row.select(F.explode(_waterfall(F.col("budget"), F.col("s"))).alias("r")).select("r.*")
 
 
 def year_end_projection(charges: DataFrame, budgets: DataFrame, forecast: DataFrame,
                         fiscal_year_start_month: int = 1) -> DataFrame:
-    """Actuals of the fiscal year so far plus the forecast for its remaining months.
+    """Actuals of the fiscal year so far plus the forecast for its remaining months."""
+    return year_end_of(side_by_side(charges, budgets), forecast, fiscal_year_start_month)
+
 
-    The three inputs become one month-level frame, so the fiscal window around the last actual
-    month is found and applied without joining them.
+def year_end_of(rows: DataFrame, forecast: DataFrame, fiscal_year_start_month: int = 1) -> DataFrame:
+    """As `year_end_projection`, from facts and budgets side by side.
+
+    All inputs become one month-level frame, so the fiscal window around the last actual month is found and applied
+    without joining them.
     """
-    parts = [
-        monthly_actuals(charges).select(F.lit("actual").alias("kind"), "period", F.col("actual").alias("amount")),
-        _months(forecast).select(F.lit("forecast"), "period", F.col("cost").cast("double")),
-        _months(budgets).groupBy("period").agg(F.sum("budget").cast("double").alias("b")).select(F.lit("budget"), "period", "b"),
-    ]
-    rows = parts[0].union(parts[1]).union(parts[2])
+    kinds = F.array(F.struct(F.lit("actual").alias("kind"), F.when(F.col("seen"), F.col("actual")).alias("amount")),
+                    F.struct(F.lit("budget").alias("kind"), F.col("budget").alias("amount")))
+    known = _by_month(rows).select("period", "seen", F.explode(kinds).alias("k")).filter("seen or k.kind = 'budget'")
+    rows = known.select("k.kind", "period", "k.amount").union(
+        _months(forecast).select(F.lit("forecast"), "period", F.col("cost").cast("double")))
     last = F.max(F.when(F.col("kind") == "actual", F.col("period"))).over(Window.partitionBy())
     rows = rows.withColumn("last", last)
     this_year = F.make_date(F.year("last"), F.lit(fiscal_year_start_month), F.lit(1))
@@ -99,11 +133,20 @@ def year_end_projection(charges: DataFrame, budgets: DataFrame, forecast: DataFr
                                        "direction", "months_remaining")
 
 
+def _by_month(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("period").agg(F.sum("actual").cast("double").alias("actual"), F.sum("budget").alias("budget"),
+                                      F.bool_or("observed").alias("seen"))
+
+
 def burn_down(charges: DataFrame, budgets: DataFrame) -> DataFrame:
     """Running actual against running budget over the observed months."""
-    planned = _months(budgets).groupBy("period").agg(F.sum("budget").alias("budget"))
+    return burn_down_of(side_by_side(charges, budgets))
+
+
+def burn_down_of(rows: DataFrame) -> DataFrame:
+    """As `burn_down`, from facts and budgets side by side."""
     run = Window.partitionBy().orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
-    rows = monthly_actuals(charges).join(planned, "period", "left")
+    rows = _by_month(rows).filter("seen")
     rows = rows.select("period", F.sum("actual").over(run).alias("cumulative_actual"),
                        F.sum(F.coalesce("budget", F.lit(0.0))).over(run).alias("cumulative_budget"))
     pace = F.when(F.col("cumulative_budget") > 0, F.col("cumulative_actual") / F.col("cumulative_budget"))
@@ -125,30 +168,36 @@ def run_rate_table(charges: DataFrame) -> DataFrame:
                     (daily * 365.0).alias("run_rate_annual")))
 
 
-def budget_from_history(charges: DataFrame, uplift: float = 0.06) -> DataFrame:
-    """First-year monthly mean per cloud and application, grown by `uplift` a year.
+def monthly_report(charges: DataFrame) -> DataFrame:
+    """(period, cloud, application, actual): what every budget question is asked of, one pass over the charges.
 
+    Decimal costs stay exact here.
     """
-    return budget_from_report(monthly_report(charges), uplift)
+    return (actuals(charges).groupBy("period", F.col("ProviderName").alias("cloud"), F.col("tag_application").alias("application"))
+            .agg(F.sum(COST).alias("actual")))
 
 
-def monthly_report(charges: DataFrame) -> DataFrame:
-    """(period, cloud, application, actual): what every budget question is asked of, one pass over the charges."""
-    return (actuals(charges).groupBy("period", F.col("ProviderName").alias("cloud"), F.col("tag_application").alias("application"))
-            .agg(F.sum(COST).cast("double").alias("actual")))
+def budget_from_history(charges: DataFrame, uplift: float = 0.06) -> DataFrame:
+    """First-year monthly mean per cloud and application, grown by `uplift` a year."""
+    return budget_from_report(monthly_report(charges), uplift)
 
 
 def budget_from_report(report: DataFrame, uplift: float = 0.06) -> DataFrame:
-    """As `budget_from_history`, from the monthly report.
+    """As `budget_from_history`, from the monthly report."""
+    return with_history_budget(report, uplift).filter("budgeted").select("period", "cloud", "application", "budget")
+
+
+def with_history_budget(report: DataFrame, uplift: float = 0.06) -> DataFrame:
+    """The monthly report with the budget its own history suggests, facts and budgets side by side in one plan.
 
-    Groups without a first year take their own actual as base; groups without a cloud or an application have no budget. The
-    first month of the estate is a scalar of the report; the means are windows inside each group.
+    Groups without a first year take their own actual as base; rows without a cloud or an application are not `budgeted`.
+    The first month of the estate stands beside the rows; the means are windows inside each group.
     """
-    actual = report.filter(F.col("cloud").isNotNull() & F.col("application").isNotNull())
-    first = actual.agg(F.struct(F.min("period").alias("first"), F.sum("actual"))).scalar()["first"]
-    actual = actual.withColumn("first", first)
-    group = Window.partitionBy("cloud", "application")
-    base = F.avg(F.when(F.col("period") <= F.add_months("first", 11), F.col("actual"))).over(group)
+    budgeted = F.col("cloud").isNotNull() & F.col("application").isNotNull()
+    rows = beside_totals(report, ["period", "cloud", "application"], {"first": F.min(F.when(budgeted, F.col("period")))})
+    group, cost = Window.partitionBy("cloud", "application"), F.col("actual").cast("double")
+    base = F.avg(F.when(F.col("period") <= F.add_months("first", 11), cost)).over(group)
     years = F.datediff("period", "first") / 30.44 / 12.0
-    return actual.withColumn("base", F.coalesce(base, F.col("actual"))).select(
-        "period", "cloud", "application", (F.col("base") * F.pow(F.lit(1.0 + uplift), years)).alias("budget"))
+    return rows.withColumn("base", F.coalesce(base, cost)).select(
+        "period", "cloud", "application", "actual", F.lit(True).alias("observed"), budgeted.alias("budgeted"),
+        F.when(budgeted, F.col("base") * F.pow(F.lit(1.0 + uplift), years)).alias("budget"))

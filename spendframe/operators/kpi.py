@@ -12,6 +12,7 @@ from spendframe.functions.columns import (
     COST, LIST, has_commitment, maturity, month, pct, ratio, readiness, total, usage, variance_status,
 )
 from spendframe.functions.focus import COMMITMENT_ELIGIBLE, UNALLOCATED
+from spendframe.functions.totals import beside_totals
 from spendframe.operators.rollups import monthly
 
 
@@ -220,11 +221,10 @@ def accuracy(pairs: DataFrame, by: list[str] = [], actual: str = "actual", forec
 def _by_start(charges: DataFrame) -> DataFrame:
     """Spend per charge-period start with the estate's last start next to it.
 
-    One row per distinct start (the hours or days of the window), whatever the row count. The last start is a scalar of
-    the same report; summing the cost beside it keeps the two plans equal, so the report is made once.
+    One row per distinct start (the hours or days of the window), whatever the row count.
     """
     starts = charges.groupBy(F.col("ChargePeriodStart").alias("start")).agg(F.sum(COST).alias("cost"))
-    return starts.withColumn("last", starts.agg(F.struct(F.max("start").alias("last"), F.sum("cost"))).scalar()["last"])
+    return beside_totals(starts, ["start"], {"last": F.max("start")})
 
 
 def _after(days: int) -> Column:
@@ -258,7 +258,7 @@ def executive_summary(charges: DataFrame, usage_waste_monthly: Column | float =
     names = list(_parts())
     starts = charges.groupBy(F.col("ChargePeriodStart").alias("start")).agg(
         F.max("ChargePeriodEnd").alias("hi"), *_sums())
-    starts = starts.withColumn("last", charges.agg(F.max("ChargePeriodStart")).scalar())  # one column, summed per task
+    starts = beside_totals(starts, ["start"], {"last": F.max("start")})
     months = starts.groupBy(F.trunc(F.col("start").cast("date"), "month").alias("period")).agg(
         *[F.sum(n).alias(n) for n in names], F.min("start").alias("lo"), F.max("start").alias("last"),
         F.max("hi").alias("hi"),

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from spendframe.functions.columns import COST, day, month
+from spendframe.functions.totals import beside_totals, largest
 from spendframe.operators.scope import FILTER_COLUMNS, dimension
 
 OTHER = "Other"
@@ -68,22 +69,19 @@ def trailing_breakdown(charges: DataFrame, by: str, months: int, as_of: dt.date,
     column = dimension(by)
     rows = charges.filter(F.col("ChargePeriodStart") >= F.lit(trailing_start(as_of, months)))
     totals = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.sum(COST).alias("c"))
-    out = totals.select(column, F.col("c").cast("double").alias("cost"),
-                        totals.agg(F.sum("c").cast("double")).scalar().alias("total_usd"))
+    out = beside_totals(totals, [column], {"total_usd": F.sum("c").cast("double")}).select(
+        column, F.col("c").cast("double").alias("cost"), "total_usd")
     return out if top is None else out.orderBy(F.desc("cost"), column).limit(top)
 
 
 def fold_tail(totals: DataFrame, label: str, limit: int, value: str = "cost") -> DataFrame:
     """Keep the `limit` - 1 largest labels and fold the rest into `Other`; nothing is lost.
 
-    With at most `limit` labels the input comes back unchanged. `totals` has one row per label. The labels kept are an
-    ordered limit, joined back by label, so labels are never ranked in one task.
+    With at most `limit` labels the input comes back unchanged. `totals` has one row per label. Labels are ranked in
+    parts, and only the first of each part meet, so they are never ranked in one task and `totals` is computed once.
     """
-    known = totals.filter(F.col(label).isNotNull())
-    most = known.orderBy(F.desc(value), label).limit(limit - 1).select(F.col(label).alias("_kept"))
-    marked = known.join(most, F.col(label) == F.col("_kept"), "left")
-    few = known.agg(F.struct((F.count(F.lit(1)) <= limit).alias("few"), F.sum(value))).scalar()["few"]
-    keep = F.col("_kept").isNotNull() | few
+    marked = largest(totals.filter(F.col(label).isNotNull()), label, value, limit - 1)
+    keep = (F.col("labels") <= limit) | F.array_contains("largest", F.col(label))
     return (marked.groupBy(F.when(keep, F.col(label)).otherwise(OTHER).alias(label), (~keep).alias("folded"))
             .agg(F.sum(value).alias(value)))
 
@@ -96,18 +94,18 @@ def totals_by(charges: DataFrame, by: str, cost: str = COST) -> DataFrame:
 def dense_matrix(charges: DataFrame, by: str, top: int | None = None, cost: str = COST) -> DataFrame:
     """Every label (the `top` largest, if given) x every month of the estate, missing cells 0, in long form.
 
-    Each label row expands by the estate's month list, a scalar, so no two tables are crossed. Months
-    and labels come from one monthly report.
+    Each label row expands by the estate's month list, which stands beside every row of the one monthly report,
+    so no two tables are crossed.
     """
     column = dimension(by)
     report = charges.groupBy(month().alias("month"), column).agg(F.sum(cost).alias("cost"))
-    months = report.agg(F.collect_set("month")).scalar()
+    report = beside_totals(report, ["month", column], {"months": F.array_sort(F.collect_set("month"))})
     cells = report.filter(F.col(column).isNotNull()).groupBy(column).agg(
-        F.sum("cost").alias("total"),
+        F.sum("cost").alias("total"), F.first("months").alias("months"),
         F.map_from_entries(F.collect_list(F.struct("month", F.col("cost").cast("double")))).alias("cells"))
     if top is not None:
         cells = cells.orderBy(F.desc("total"), column).limit(top)
-    return (cells.select(column, "cells", F.explode(months).alias("month"))
+    return (cells.select(column, "cells", F.explode("months").alias("month"))
             .select(column, "month", F.coalesce(F.try_element_at("cells", F.col("month")), F.lit(0.0)).alias("cost")))
 
 

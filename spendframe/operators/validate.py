@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spendframe.functions import focus
+from spendframe.functions.columns import day
 
 
 def missing_columns(df: DataFrame) -> list[str]:
@@ -62,16 +63,17 @@ def _has_pairs(df: DataFrame) -> bool:
     return {"ServiceCategory", "ServiceSubcategory"} <= set(df.columns)
 
 
-def counted(df: DataFrame, keys: list[str] = []) -> DataFrame:
-    """Per group: row count, distinct bad pairs, and `found`, the array of broken counting rules."""
+def counted(df: DataFrame, keys: list[str] = [], more: dict[str, Column] = {}) -> DataFrame:
+    """Per group: row count, distinct bad pairs, `found`, the array of broken counting rules, and the aggregates `more`."""
     checks = _checks(df.columns)
     pair = F.when(_bad_pair(), F.struct("ServiceCategory", "ServiceSubcategory")) if _has_pairs(df) else F.lit(None)
     wide = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct(pair).alias("bad_pairs"),
-                                 *[n.alias(f"c{i}") for i, n in enumerate(checks.values())])
+                                 *[n.alias(f"c{i}") for i, n in enumerate(checks.values())],
+                                 *[n.alias(name) for name, n in more.items()])
     found = [_issue(*rule, F.col(f"c{i}")) for i, rule in enumerate(checks)]
     missing = [_issue("error", "missing_column", c, F.lit(0)) for c in missing_columns(df)]
     broken = F.filter(F.array(*found), lambda i: i["n"] > 0)
-    return wide.select(*keys, "row_count", "bad_pairs", F.concat(broken, F.array(*missing)).alias("found")
+    return wide.select(*keys, "row_count", "bad_pairs", *more, F.concat(broken, F.array(*missing)).alias("found")
                        if missing else broken.alias("found"))
 
 
@@ -150,6 +152,13 @@ def verdict(df: DataFrame, keys: list[str] = [], strict: bool = False) -> DataFr
                                     (errors == 0).alias("ok"))
 
 
+def provenance(df: DataFrame) -> DataFrame:
+    """One row: rows, first and last charge day, and whether the feed conforms, from one pass."""
+    seen = counted(df, more={"period_start": F.min(day()), "period_end": F.max(day())})
+    return seen.select(F.col("row_count").alias("rows"), "period_start", "period_end",
+                       (~F.exists("found", lambda i: i["severity"] == "error")).alias("conformant"))
+
+
 def schema_parity(actual, expected=None) -> list[str]:
     """Differences between a table schema and the warehouse schema; empty when they agree."""
     expected = expected or focus.warehouse_schema()

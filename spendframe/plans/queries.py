@@ -270,8 +270,7 @@ on_charges("P08_filter_values", ru.filter_values)
 
 @query("P09_provenance")
 def _(spark, sf):
-    feed = nz.normalize(tc.feed(spark, sf))
-    return ru.describe(feed).withColumn("conformant", va.verdict(feed).select("ok").scalar())
+    return va.provenance(nz.normalize(tc.feed(spark, sf)))
 
 
 on_charges("P10_trailing_breakdown", lambda c: ru.trailing_breakdown(c, "service", 12, AS_OF))
@@ -383,29 +382,32 @@ on_charges("L15_worst_tag", al.worst_tag)
 on_charges("L16_tag_limits", al.tag_limit_violations)
 
 
+def _history(c: DataFrame) -> DataFrame:
+    return bu.with_history_budget(bu.monthly_report(c))
+
+
 # --- budget -------------------------------------------------------------------------------------------
 def _variance(by: list[str]) -> Callable[[DataFrame], DataFrame]:
     def run(c: DataFrame) -> DataFrame:
         # Planted beside the whole table: budgets of an application without actuals.
-        budgets = bu.budget_from_history(c)
-        budgets = budgets.union(budgets.filter("application = 'app-1' and month(period) = 6").withColumn(
-            "application", F.lit("app-new")))
-        return r6(r2(bu.variance_table(c, budgets, by), "budget", "variance_abs"), "actual", "variance_pct")
+        rows = _history(c)
+        again = (F.col("application") == "app-1") & (F.month("period") == 6) & F.col("budgeted")
+        names = F.when(again, F.array(F.col("application"), F.lit("app-new"))).otherwise(F.array("application"))
+        rows = rows.withColumn("name", F.explode(names)).withColumns({
+            "actual": F.when(F.col("name").eqNullSafe(F.col("application")), F.col("actual")), "application": F.col("name")})
+        return r6(r2(bu.variance_of(rows, by), "budget", "variance_abs"), "actual", "variance_pct")
     return run
 
 
 on_charges("B01_monthly_actuals", bu.monthly_actuals)
 on_charges("B02_variance_table", _variance(["cloud", "application", "period"]))
-on_charges("B02b_variance_business_unit", _variance(["business_unit"]))
+on_charges("B02b_variance_business_unit", lambda c: r6(r2(bu.variance_table(
+    c, bu.budget_from_history(c), ["business_unit"]), "budget", "variance_abs"), "actual", "variance_pct"))
 
 
 @query("B03_bridge")
 def _(spark, sf):
-    c = tc.charges(spark, sf)
-    gap = bu.variance_table(c, bu.budget_from_history(c), ["cloud"])
-    order = F.row_number().over(Window.partitionBy().orderBy("cloud"))
-    drivers = gap.select(order.alias("position"), F.col("cloud").alias("label"), F.col("variance_abs").alias("delta"))
-    out = bu.bridge(gap.agg(F.sum("budget").alias("budget")), drivers)
+    out = bu.variance_bridge(bu.variance_of(_history(tc.charges(spark, sf)), ["cloud"]), "cloud")
     return r2(out.withColumn("position", F.col("position").cast("bigint")))
 
 
@@ -413,11 +415,11 @@ def _(spark, sf):
 def _(spark, sf):
     c = tc.charges(spark, sf)
     ahead = fc.forecast_points(ru.monthly(c), [], 6, "linear").select("period", F.col("yhat").alias("cost"))
-    out = bu.year_end_projection(c, bu.budget_from_history(c), ahead, 4)
+    out = bu.year_end_of(_history(c), ahead, 4)
     return r6(r2(out, "projected_spend", "annual_budget", "variance_abs"), "variance_pct")
 
 
-on_charges("B05_burn_down", lambda c: r6(r2(bu.burn_down(c, bu.budget_from_history(c)), "cumulative_actual", "cumulative_budget"), "pace"))
+on_charges("B05_burn_down", lambda c: r6(r2(bu.burn_down_of(_history(c)), "cumulative_actual", "cumulative_budget"), "pace"))
 on_charges("B06_run_rate_table", lambda c: r2(bu.run_rate_table(c)))
 on_charges("B07_budget_from_history", lambda c: r2(bu.budget_from_history(c)))
 

@@ -69,14 +69,10 @@ ALL = {
 }
 
 
-#: Plans with a second scan of few columns, for one row of totals: months of the estate, last charge start, pools.
-TWO = {"matrix", "summary", "allocate", "fold"}
-
-
 @pytest.mark.parametrize("name", list(ALL))
 def test_one_pruned_scan_without_python_or_cross_join(charges, name):
     text = ran(ALL[name](charges))
-    assert len(re.findall(r"FileScan parquet", text)) <= (2 if name in TWO else 1), text
+    assert len(re.findall(r"FileScan parquet", text)) == 1, text
     assert "PartitionFilters: [isnotnull(charge_date" in text
     assert not re.search(r"Cartesian|NestedLoop|Python|ArrowEval", text)
     columns = re.search(r"ReadSchema: struct<([^>]*)>", text)[1].count(":")
@@ -115,9 +111,33 @@ def test_series_windows_share_one_shuffle(spark):
     assert len(re.findall(r"Exchange hashpartitioning", plan(out))) == 2
 
 
-def test_budgets_ask_one_report(charges):
-    report = bu.monthly_report(charges)
-    assert len(re.findall(r"FileScan parquet", ran(bu.budget_from_report(report)))) == 1
+FIXED = al.SharedCostPolicy("fixed_percentage", fixed_percentages={"BUILDING": 100.0})
+DRIVER = al.SharedCostPolicy("usage_driver", driver_metric="ConsumedQuantity")
+
+
+def history(c):
+    return bu.with_history_budget(bu.monthly_report(c))
+
+
+#: Reports with totals, budgets or ranks beside their rows.
+REPORTS = {
+    "even": lambda c: al.weights(c, al.SharedCostPolicy("even_split")), "proportional": lambda c: al.weights(c, al.SharedCostPolicy()),
+    "fixed": lambda c: al.weights(c, FIXED), "driver": lambda c: al.weights(c, DRIVER), "showback": al.showback,
+    "allocate": lambda c: al.allocate(c, DRIVER, "tag_application"), "chargeback": lambda c: al.chargeback(c, FIXED),
+    "untagged": al.untagged_breakdown, "breakdown": lambda c: ru.trailing_breakdown(c, "service", 2, dt.date(2001, 9, 30)),
+    "fold": lambda c: ru.fold_tail(ru.totals_by(c, "cloud"), "ProviderName", 3), "matrix": lambda c: ru.dense_matrix(c, "application"),
+    "baseline": kpi.trailing_baseline, "drift": kpi.baseline_drift, "summary": kpi.executive_summary, "provenance": va.provenance,
+    "budget": bu.budget_from_history, "variance": lambda c: bu.variance_of(history(c), ["cloud", "application", "period"]),
+    "bridge": lambda c: bu.variance_bridge(bu.variance_of(history(c), ["cloud"]), "cloud"),
+    "burn_down": lambda c: bu.burn_down_of(history(c)),
+}
+
+
+@pytest.mark.parametrize("name", list(REPORTS))
+def test_reports_plan_one_scan(charges, name):
+    """In the plan itself, so nothing hangs on exchanges that are reused at run time."""
+    text = plan(REPORTS[name](charges))
+    assert len(re.findall(r"FileScan parquet", text)) == 1 and "Subquery" not in text, text
 
 
 def test_no_window_over_labels_targets_or_starts(charges):
