@@ -99,25 +99,28 @@ def normalize(df: DataFrame) -> DataFrame:
     return tolerant_cast(conform(rename_aliases(df)))
 
 
-def fill_all_null(df: DataFrame, values: dict[str, str], raw: DataFrame | None = None) -> DataFrame:
+def fill_all_null(df: DataFrame, values: dict[str, str], raw: DataFrame | None = None,
+                  known: dict[str, bool] | None = None) -> DataFrame:
     """Each column's value where the *whole* column is null; partly filled columns stay untouched.
 
-    `raw` is the frame before `normalize`: columns it lacks need no check. All others are asked in one scalar
-    subquery over just those columns.
+    `raw` is the frame before `normalize`: columns it lacks need no check, nor do those of which is `known` that they are
+    null in all rows or in none. All others are asked in one scalar subquery over just those columns.
     """
     have = set(rename_aliases(raw).columns) if raw is not None else set(df.columns)
-    asked = [c for c in values if c in have]
-    out = df.withColumns({c: F.lit(v) for c, v in values.items() if c not in have})
+    known = {c: True for c in values if c not in have} | (known or {})
+    asked = [c for c in values if c not in known]
+    out = df.withColumns({c: F.lit(v) for c, v in values.items() if known.get(c)})
     if not asked:
         return out
     absent = df.agg(F.struct(*[(F.count(c) == 0).alias(c) for c in asked]).alias("absent")).scalar()
     return out.withColumns({c: F.when(absent[c], F.lit(values[c])).otherwise(F.col(c)) for c in asked})
 
 
-def fill_if_all_null(df: DataFrame, column: str, value: str, raw: DataFrame | None = None) -> DataFrame:
-    return fill_all_null(df, {column: value}, raw)
+def fill_if_all_null(df: DataFrame, column: str, value: str, raw: DataFrame | None = None,
+                     known: dict[str, bool] | None = None) -> DataFrame:
+    return fill_all_null(df, {column: value}, raw, known)
 
 
-def stamp_issuer(df: DataFrame, vendor: str, raw: DataFrame | None = None) -> DataFrame:
+def stamp_issuer(df: DataFrame, vendor: str, raw: DataFrame | None = None, known: dict[str, bool] | None = None) -> DataFrame:
     """The vendor as invoice issuer when the feed names none."""
-    return fill_if_all_null(df, "InvoiceIssuerName", vendor, raw)
+    return fill_if_all_null(df, "InvoiceIssuerName", vendor, raw, known)

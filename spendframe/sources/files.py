@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spendframe.operators import normalize as nz
+from spendframe.sources import peek
 
 # --- fixed values: provider spellings folded to OCI -----------------------------------------
 OCI_NAMES = ["oci", "oracle", "oracle cloud", "oracle cloud infrastructure"]
@@ -48,8 +49,12 @@ def _data_files(spark: SparkSession, glob: str) -> list[str]:
     return sorted(out)
 
 
+def _uri(spark: SparkSession, file: str) -> str:
+    return spark._jvm.org.apache.hadoop.fs.Path(file).toUri().toString()
+
+
 def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
-    """The column names in a file's first line; nothing beyond its first block is read."""
+    """The column names in a file's first line, read by the driver: for file systems that Arrow does not know."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(file)
     stream = path.getFileSystem(conf).open(path)
@@ -63,16 +68,18 @@ def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
 
 
 def csv_by_name(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """CSV files with columns matched by name: one read for each distinct header, then a union by name.
+    """CSV files with columns matched by name: one read for each distinct header (read in tasks), then a union by name.
 
     A file that lacks a column has nulls in it. Spark checks every file against its header, so columns can't be
     taken by position. A gzipped file is one task; uncompressed ones are split.
     """
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for file in [f for path in paths for f in _data_files(spark, path)]:
-        groups.setdefault(_header(spark, file), []).append(file)
-    if not groups:
+    files = [f for path in paths for f in _data_files(spark, path)]
+    if not files:
         raise FileNotFoundError(f"no files under {', '.join(paths)}")
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, line in zip(files, peek.first_lines(spark, [_uri(spark, f) for f in files])):
+        header = _header(spark, file) if line is None else tuple(next(csv.reader([line]), []))
+        groups.setdefault(header, []).append(file)
     reader = spark.read.option("header", True).option("multiLine", False).option("enforceSchema", False)
     parts = [reader.schema(", ".join(f"`{name}` string" for name in header)).csv(found) for header, found in groups.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -116,7 +123,8 @@ def focus_file(spark: SparkSession, path: str, start: dt.date, end: dt.date, ven
                fmt: str | None = None) -> DataFrame:
     """A canonical export in one file or folder."""
     raw = read_raw(spark, path, fmt)
-    return nz.stamp_issuer(date_range(nz.normalize(raw), start, end), vendor, raw)
+    known = peek.all_null(raw, ["InvoiceIssuerName"]) if file_format(path, fmt) == "parquet" else {}
+    return nz.stamp_issuer(date_range(nz.normalize(raw), start, end), vendor, raw, known)
 
 
 def cloud_export(spark: SparkSession, path: str, start: dt.date, end: dt.date, provider: str, vendor: str,
@@ -124,7 +132,7 @@ def cloud_export(spark: SparkSession, path: str, start: dt.date, end: dt.date, p
     """A cloud's own export: `x_*` extensions dropped, provider filled in when wholly absent.
 
     Only the window's billing-period folders are listed, and typed dates are bound at the scan. Whether
-    issuer and provider are absent is one question to the bounded rows.
+    issuer and provider are absent is asked of the footers; only where these leave it open, of the bounded rows.
     """
     folders = period_folders(spark, path, start, end) if file_format(path, fmt) == "parquet" else None
     if folders is not None and not folders:
@@ -132,7 +140,9 @@ def cloud_export(spark: SparkSession, path: str, start: dt.date, end: dt.date, p
     raw = read_raw(spark, path if folders is None else folders, fmt)
     raw = bounded(raw.drop(*[c for c in raw.columns if c.lower().startswith("x_")]), start, end)
     out = date_range(nz.normalize(raw), start, end, guard=False)
-    return nz.fill_all_null(out, {"InvoiceIssuerName": vendor, "ProviderName": provider}, raw)
+    values = {"InvoiceIssuerName": vendor, "ProviderName": provider}
+    known = peek.all_null(raw, list(values)) if file_format(path, fmt) == "parquet" else {}
+    return nz.fill_all_null(out, values, raw, known)
 
 
 def aws_export(spark: SparkSession, path: str, start: dt.date, end: dt.date) -> DataFrame:

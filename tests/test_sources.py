@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spendframe.operators import validate as va
-from spendframe.sources import files, payloads as pl
+from spendframe.sources import files, payloads as pl, peek
 
 A, B = dt.date(2024, 1, 1), dt.date(2024, 2, 1)
 
@@ -93,11 +93,56 @@ def test_exports_read_only_their_months(spark, tmp_path):
     out = files.aws_export(spark, str(tmp_path / "e"), A, dt.date(2024, 3, 1))
     text = out._jdf.queryExecution().executedPlan().toString()
     assert sorted((str(r["ChargePeriodStart"].date()), r["ProviderName"]) for r in out.collect()) == [("2024-01-05", "AWS"), ("2024-02-05", "AWS")]
-    assert text.count("FileScan parquet") == 2 and text.count("GreaterThanOrEqual(ChargePeriodStart") == 2
+    assert text.count("FileScan parquet") == 1 and text.count("GreaterThanOrEqual(ChargePeriodStart") == 1
     assert "2024-03" not in text.replace("2024-03-01", "")
     assert files.aws_export(spark, str(tmp_path / "e"), dt.date(2020, 1, 1), dt.date(2020, 2, 1)).count() == 0
 
 
+def test_many_headers_are_read_in_tasks(spark, tmp_path, monkeypatch):
+    """500 files with two headers: the driver opens none of them."""
+    monkeypatch.setattr(files, "_header", lambda *_: pytest.fail("opened by the driver"))
+    for i in range(500):
+        text = f"ProviderName,EffectiveCost\r\nAWS,{i}\r\n" if i % 2 else f"\ufeffEffectiveCost,ProviderName\n{i},GCP\n"
+        write(tmp_path / "some feed" / f"part {i}.csv{'.gz' if i % 5 == 0 else ''}", text, zipped=i % 5 == 0)
+    rows = files.csv_by_name(spark, [str(tmp_path / "some feed")]).collect()
+    assert sorted((int(r["EffectiveCost"]), r["ProviderName"]) for r in rows) == [(i, "AWS" if i % 2 else "GCP") for i in range(500)]
+
+
+def test_headers_without_an_arrow_file_system(spark, tmp_path, monkeypatch):
+    write(tmp_path / "a.csv", CSV + "2024-01-02,1,AWS,i\n")
+    monkeypatch.setattr(files, "_uri", lambda _, file: "nosuchsystem://" + file)
+    assert files.csv_by_name(spark, [str(tmp_path / "a.csv")]).count() == 1
+
+
+def test_footers_tell_what_is_all_null(spark, tmp_path):
+    sql = "select timestamp_ntz'2024-01-05 00:00:00' ChargePeriodStart, {} InvoiceIssuerName, {} ServiceProviderName"
+    null = "cast(null as string)"
+    cases = {"none": ("'i'", "'p'"), "all": (null, null), "mixed": ("if(id = 0, 'i', null)", "if(id = 1, 'p', null)")}
+    for name, pair in cases.items():
+        spark.sql(f"{sql.format(*pair)} from range(4)").write.parquet(str(tmp_path / name))
+    names = ["InvoiceIssuerName", "ProviderName"]
+    of = lambda *kinds: spark.read.option("mergeSchema", True).parquet(*[str(tmp_path / k) for k in kinds])
+    assert peek.all_null(of("none"), names) == {n: False for n in names}
+    assert peek.all_null(of("all"), names) == {n: True for n in names}
+    assert peek.all_null(of("mixed"), names) == peek.all_null(of("none", "all"), names) == {}
+    spark.range(3).write.parquet(str(tmp_path / "lacks"))
+    assert peek.all_null(of("all", "lacks"), names) == {n: True for n in names}
+    assert peek.all_null(of("none", "lacks"), names) == {} == peek.all_null(of("lacks"), names)
+    for kind in cases:
+        out = files.azure_export(spark, str(tmp_path / kind), A, B, "parquet")
+        assert (out._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1) == (kind != "mixed")
+        want = {"none": ("i", "p"), "all": ("Microsoft", "Azure"), "mixed": (None, None)}[kind]
+        assert want in {(r["InvoiceIssuerName"], r["ProviderName"]) for r in out.collect()}
+
+
+def test_footers_without_statistics_leave_it_to_the_rows(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    (tmp_path / "f").mkdir()
+    pq.write_table(pa.table({"InvoiceIssuerName": pa.array([None, None], pa.string())}), tmp_path / "f" / "a.parquet", write_statistics=False)
+    assert peek.all_null(spark.read.parquet(str(tmp_path / "f")), ["InvoiceIssuerName"]) == {}
+
+
 def test_slices_and_chunks(spark):
     df = spark.createDataFrame([("b", dt.date(2024, 1, 15), dt.date(2024, 3, 1)), ("none", B, B)], "binding string, start date, end date")
     got = [(r["lo"], r["hi"]) for r in files.month_slices(df).orderBy("lo").collect()]
