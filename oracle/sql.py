@@ -644,6 +644,20 @@ add("V11_budgets", """SELECT CASE cloud WHEN 'OCI' THEN 'All' ELSE cloud END AS
 CASE WHEN cloud IN ('AWS', 'GCP') THEN DATE '2001-09-01' ELSE period END AS period, COUNT(*) AS budgets,
 CAST(SUM(CAST(ROUND(budget * 100) AS BIGINT)) AS DOUBLE) / 100 AS budget FROM budgets WHERE cloud <> 'IBM Cloud' GROUP BY ALL""", BUDGETS)
 
+add("V05b_cloudhealth_cubes", f"""SELECT a AS BillingAccountId, s AS ServiceName, m AS period, COUNT(*) AS rows, {D('SUM(x)')} AS EffectiveCost,
+{D('SUM(x)')} AS ListCost, {D('SUM(x)')} AS BilledCost FROM (SELECT COALESCE(SubAccountId, 'none') AS a, ServiceCategory AS s, {M} AS m, SUM(ListCost) AS x
+FROM charges GROUP BY ProviderName, 1, 2, 3) WHERE x <> 0 GROUP BY ALL""")
+add("V10b_vendor_recommendations", f"""SELECT source, cloud, lever, COUNT(*) AS findings, COUNT(DISTINCT COALESCE(ResourceId, '')) AS resources,
+{D('SUM(EffectiveCost)')} AS monthly FROM (SELECT ResourceId, EffectiveCost,
+CASE charge_key % 7 WHEN 0 THEN 'aws_cost_explorer_rightsizing' WHEN 1 THEN 'cloudability' WHEN 2 THEN 'cloudhealth' WHEN 3 THEN 'harness' WHEN 4 THEN 'nops'
+ WHEN 5 THEN 'turbonomic' ELSE 'vantage' END AS source, CASE WHEN charge_key % 7 IN (0, 4) THEN 'AWS' ELSE upper(ProviderName) END AS cloud,
+CASE WHEN charge_key % 7 IN (1, 2) OR (charge_key % 2 = 0 AND charge_key % 7 <> 5) THEN 'rightsizing' ELSE
+ CASE charge_key % 7 WHEN 0 THEN 'idle_resource' WHEN 3 THEN 'NODE' WHEN 4 THEN 'compute-copilot' WHEN 5 THEN
+  CASE WHEN charge_key % 2 = 1 THEN 'suspend' ELSE 'resize' END ELSE 'idle' END END AS lever
+FROM charges WHERE ConsumedQuantity = 0 AND EffectiveCost > 0 AND {USAGE}) GROUP BY ALL""")
+add("V11b_other_budgets", """SELECT cloud, application, CASE WHEN cloud = 'IBM Cloud' THEN period ELSE DATE '2001-09-01' END AS period, COUNT(*) AS budgets,
+CAST(SUM(CAST(ROUND(budget * 100) AS BIGINT)) AS DOUBLE) / 100 AS budget FROM budgets WHERE cloud IN ('Azure', 'OCI', 'IBM Cloud') GROUP BY ALL""", BUDGETS)
+
 # --- the catalogue is data both sides share ---------------------------------------------------------------
 _CATALOG = ", ".join("(" + ", ".join(f"{v}::DOUBLE" if isinstance(v, float) else "'" + v.replace("'", "''") + "'" for v in row) + ")" for row in LEVERS)
 add("O19_levers_in_use", "SELECT catalog.*, opportunities FROM catalog JOIN (SELECT lever_id AS id, COUNT(*) AS opportunities FROM opps GROUP BY 1) USING (id)",

@@ -199,6 +199,95 @@ def budgets(c: DataFrame) -> DataFrame:
     return rows.groupBy("cloud", "application", "period").agg(F.count(F.lit(1)).alias("budgets"), total.alias("budget"))
 
 
+def gathered(df: DataFrame, record: Column, *keep: str) -> DataFrame:
+    """`found`, the records of up to 64 neighbouring charge keys: what goes into one document."""
+    return df.groupBy(*keep, F.floor(F.col("charge_key") / 64).alias("doc")).agg(F.collect_list(record).alias("found"))
+
+
+def cloudhealth_cubes(c: DataFrame) -> DataFrame:
+    """Cubes of a year's months, many accounts and services, one per provider, year and hash part of the accounts.
+
+    A cell the charges have nothing for is null.
+    """
+    account = F.coalesce("SubAccountId", F.lit("none"))
+    cells = c.groupBy("ProviderName", F.year("ChargePeriodStart").alias("y"), F.pmod(F.xxhash64(account), F.lit(16)).alias("part"),
+                      F.date_format("ChargePeriodStart", "yyyy-MM").alias("m"), account.alias("a"), F.col("ServiceCategory").alias("s")).agg(
+        F.sum(LIST).cast("double").alias("cost"))
+    key = lambda m, a, s: F.concat_ws("|", m, a, s)
+    cubes = cells.groupBy("ProviderName", "y", "part").agg(
+        *[F.array_sort(F.collect_set(x)).alias(f"{x}s") for x in "mas"],
+        F.map_from_entries(F.collect_list(F.struct(key(F.col("m"), F.col("a"), F.col("s")), "cost"))).alias("cells"))
+    data = F.transform("ms", lambda m: F.transform("as", lambda a: F.transform("ss", lambda s: F.array(F.try_element_at("cells", key(m, a, s))))))
+    named = lambda field, values: F.transform(values, lambda v: F.create_map(F.lit(field), v))
+    dims = F.array(F.create_map(F.lit("time"), named("name", F.col("ms"))), F.create_map(F.lit("AWS-Account"), named("label", F.col("as"))),
+                   F.create_map(F.lit("AWS-Service-Category"), named("label", F.col("ss"))))
+    out = pl.cloudhealth(documents(cubes, pl.SCHEMAS["cloudhealth"], dimensions=dims, data=data), START, END)
+    return totals(out.withColumn("period", F.col("ChargePeriodStart").cast("date")), "BillingAccountId", "ServiceName", "period")
+
+
+def vendor_recommendations(c: DataFrame) -> DataFrame:
+    """Idle rows as findings of the seven other sources, dealt by key, many in one document of each source's shape."""
+    idle = c.filter((F.col("ConsumedQuantity") == 0) & (F.col(COST) > 0) & (F.col("ChargeCategory") == "Usage"))
+    of = lambda slot: idle.filter(F.col("charge_key") % 7 == slot)
+    odd, cost, resource, provider = F.col("charge_key") % 2 == 1, _text(COST), F.col("ResourceId"), F.lower("ProviderName")
+    amount = lambda v: F.struct(v.alias("EstimatedMonthlySavings"))
+    targets = F.array(amount((F.col(COST) / 2).cast("string")), amount(cost))
+    right = F.struct(
+        F.col("SubAccountId").alias("AccountId"), F.when(odd, "TERMINATE").otherwise("MODIFY").alias("RightsizingType"),
+        F.struct(resource.alias("ResourceId")).alias("CurrentInstance"),
+        F.when(~odd, F.struct(targets.alias("TargetInstances"))).alias("ModifyRecommendationDetail"),
+        F.when(odd, amount(cost)).alias("TerminateRecommendationDetail"))
+    rightsizing = documents(
+        gathered(of(0), right), "RightsizingRecommendations array<struct<AccountId: string, RightsizingType: string, "
+        "CurrentInstance: struct<ResourceId: string>, ModifyRecommendationDetail: struct<TargetInstances: array<struct<EstimatedMonthlySavings: string>>>, "
+        "TerminateRecommendationDetail: struct<EstimatedMonthlySavings: string>>>", RightsizingRecommendations=F.col("found"))
+    saving = lambda v: F.struct(v.alias("savings"))
+    item = F.struct(F.when(odd, resource).alias("resourceIdentifier"), resource.alias("resourceId"),
+                    F.array(saving(cost), saving((F.col(COST) * 2).cast("string"))).alias("recommendations"))
+    items = f"array<struct<resourceIdentifier: string, resourceId: string, recommendations: array<{pl.RECORD}>>>"
+    cloudability_docs = documents(gathered(of(1), item, "ProviderName"), f"vendor string, service string, result {items}, results {items}",
+                                  vendor=provider, service=F.lit("ec2"), results=F.col("found"))
+
+    def flat(vendor: str, slot: int, container: str, **fields: Column) -> DataFrame:
+        record = F.struct(*[v.alias(k) for k, v in fields.items()])
+        schema = ", ".join(f"{name} array<{pl.RECORD}>" for name in pl.FLAT_FINDINGS[vendor].containers)
+        return pl.flat_findings(documents(gathered(of(slot), record), schema, **{container: F.col("found")}), vendor)
+
+    actions = documents(
+        of(5), f"actionType string, details string, target {pl.RECORD}, currentEntity {pl.RECORD}, savingsAmount string, risk struct<severity: string>",
+        actionType=F.when(odd, "SUSPEND"), target=F.struct(resource.alias("uuid"), provider.alias("environmentType")), savingsAmount=cost)
+    rows = pl.union([
+        pl.aws_rightsizing(rightsizing), pl.cloudability_rightsizing(cloudability_docs),
+        flat("cloudhealth", 2, "nodes", cloud=provider, resourceId=resource, estimatedMonthlySavings=cost),
+        flat("harness", 3, "items", cloudProvider=provider, resourceName=F.when(odd, resource), id=resource, monthlySavings=cost,
+             recommendationType=F.when(odd, "NODE")),
+        flat("nops", 4, "data", instance_id=resource, savings=cost, lever=F.when(odd, "compute-copilot")),
+        pl.turbonomic(actions),
+        flat("vantage", 6, "recommendations", provider=provider, token=resource, potential_savings=cost, category=F.when(odd, "idle"))])
+    saved = F.sum(F.round(F.col("estimated_monthly_savings").cast("decimal(28,9)"), 6)).cast("double")
+    return rows.groupBy("source", "cloud", "lever").agg(
+        F.count(F.lit(1)).alias("findings"), F.count_distinct("resource_id").alias("resources"), saved.alias("monthly"))
+
+
+def other_budgets(c: DataFrame) -> DataFrame:
+    """Budgets in the shapes of Azure, OCI and Flexera, all months of an application in one document."""
+    plan = bu.budget_from_history(c).withColumn("cents", F.round(F.col("budget") * 100).cast("bigint"))
+    amount, name = (F.col("cents") / 100).cast("string"), F.col("application")
+
+    def docs(cloud: str, container: str, schema: str = "", **fields: Column) -> DataFrame:
+        found = plan.filter(F.col("cloud") == cloud).groupBy("application").agg(
+            F.collect_list(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("found"))
+        return documents(found, f"{container} array<{pl.RECORD}>{schema}", **{container: F.col("found")})
+
+    rows = pl.union([
+        pl.cloud_budgets(docs("Azure", "value", name=name, properties=F.struct(amount.alias("amount"))), "Azure", TODAY),
+        pl.cloud_budgets(docs("OCI", "items", display_name=name, amount=amount), "OCI", TODAY),
+        pl.flat_budgets(docs("IBM Cloud", "budgets", f", values array<{pl.RECORD}>", vendor=F.col("cloud"), name=name, start_at=_text("period"),
+                             budget=amount), "flexera")])
+    total = F.sum(F.round(F.col("budget").cast("decimal(28,9)"), 2)).cast("double")
+    return rows.groupBy("cloud", "application", "period").agg(F.count(F.lit(1)).alias("budgets"), total.alias("budget"))
+
+
 on_charges("V01_aws_cost_explorer", aws)
 on_charges("V02_azure_query", azure)
 on_charges("V03_gcp_detailed", gcp)
@@ -210,3 +299,6 @@ on_charges("V08_flat_vendors", flat_vendors)
 on_charges("V09_kubecost", kubecost)
 on_charges("V10_recommendations", recommendations)
 on_charges("V11_budgets", budgets)
+on_charges("V05b_cloudhealth_cubes", cloudhealth_cubes)
+on_charges("V10b_vendor_recommendations", vendor_recommendations)
+on_charges("V11b_other_budgets", other_budgets)
