@@ -20,6 +20,8 @@ from .common import annotate, encoded, flat, fresh, grams, rows_hashed, stored,
 WINDOW, GRAM = 10, 5
 #: Words of benchmark text in one block: about 50 bytes each in a worker.
 BLOCK_WORDS = 500_000
+#: Keys over which the documents with one set of windows are dealt.
+SALTS = 16
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -181,7 +183,8 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null item ids have no name and are left out of the items, though their windows count as hits; repeated items count once.
     Windows meet their items once for each distinct set of windows that documents have, so a window that many items share costs
-    its items once, not once in every document.
+    its items once, not once in every document. A set that many documents have is dealt over SALTS keys, and documents without any
+    are spread by their ids, so no task takes all of either.
     """
     listed = listed_windows(benchmark)
     found = flat(hits(docs.select("doc_id", "text"), benchmark, listed=listed), "hits", "doc_id")
@@ -191,6 +194,9 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = sets.select("same", F.explode("windows").alias("window")).join(listed.select("window", "item").filter("item is not null"), "window").groupBy(
         "same").agg(F.array_sort(F.collect_set("item")).alias("items")).select(
         "same", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-    return found.join(items, "same", "left").select(
+    items = items.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    spread = F.xxhash64("doc_id", "n_words")
+    salted = found.withColumn("salt", F.when(F.col("same").isNull(), spread).otherwise(F.pmod(spread, F.lit(SALTS))))
+    return salted.join(items, ["same", "salt"], "left").select(
         "doc_id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(b""), 256)).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
