@@ -339,24 +339,21 @@ def commitment_steps(charges: DataFrame, per: str = "purchase") -> DataFrame:
 def commitment_expiry_overlay(charges: DataFrame, forecast: DataFrame, per: str = "purchase") -> DataFrame:
     """Forecast plus `cost_with_cliffs` and `cliff`.
 
-    From its expiry month on, each step stays: a running sum over forecast and expiry months
-    (one row each), so no range join is needed. Expiries outside the forecast do not count.
+    From its expiry month on, each step stays: a running sum over forecast and expiry months, with the forecast's rows
+    of a month beside it, so the forecast is made once and no join is needed. Expiries outside the forecast do not count.
     """
-    months = F.trunc("period", "month")
-    fc = forecast.withColumn("_m", months)
-    steps = commitment_steps(charges, per)
-    events = (fc.select("_m", F.lit(True).alias("_fc"), F.lit(0.0).alias("step"))
-              .unionByName(steps.select(F.col("expiry").alias("_m"), F.lit(False).alias("_fc"), "step")))
+    row = F.struct(*[F.col(f"`{c}`") for c in forecast.columns])
+    planned = forecast.select(F.trunc("period", "month").alias("m"), row.alias("row"), F.lit(0.0).alias("step"))
+    steps = commitment_steps(charges, per).select(F.col("expiry").alias("m"), F.lit(None).cast(planned.schema["row"].dataType).alias("row"), "step")
     estate = Window.partitionBy()
-    bounds = {"_lo": F.min(F.when(F.col("_fc"), F.col("_m"))).over(estate),
-              "_hi": F.max(F.when(F.col("_fc"), F.col("_m"))).over(estate)}
-    inside = events.withColumns(bounds).filter((F.col("_m") >= F.col("_lo")) & (F.col("_m") <= F.col("_hi")))
-    per_month = inside.groupBy("_m").agg(F.sum("step").alias("step"), F.bool_or(~F.col("_fc")).alias("cliff"))
-    run = Window.partitionBy().orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)
-    added = per_month.withColumn("added", F.sum("step").over(run)).select("_m", "added", "cliff")
-    return (fc.join(added, "_m", "left")
-            .withColumn("cost_with_cliffs", F.col("cost") + F.coalesce("added", F.lit(0.0)))
-            .withColumn("cliff", F.coalesce("cliff", F.lit(False))).drop("_m", "added"))
+    months = planned.union(steps).withColumns({
+        "lo": F.min(F.when(F.col("row").isNotNull(), F.col("m"))).over(estate),
+        "hi": F.max(F.when(F.col("row").isNotNull(), F.col("m"))).over(estate)}).filter("m >= lo and m <= hi")
+    months = months.groupBy("m").agg(F.sum("step").alias("step"), F.bool_or(F.col("row").isNull()).alias("cliff"),
+                                     F.collect_list("row").alias("rows"))
+    run = Window.partitionBy().orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
+    out = months.withColumn("added", F.sum("step").over(run)).select(F.explode("rows").alias("row"), "added", "cliff")
+    return out.select("row.*", (F.col("row.cost") + F.col("added")).alias("cost_with_cliffs"), "cliff")
 
 
 def _adjustment(entry: dict) -> tuple[str, float, str] | None:

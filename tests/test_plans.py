@@ -140,6 +140,11 @@ def test_reports_plan_one_scan(charges, name):
     assert len(re.findall(r"FileScan parquet", text)) == 1 and "Subquery" not in text, text
 
 
+def test_the_overlay_makes_the_forecast_once(charges):
+    ahead = fc.forecast_points(ru.monthly(charges), [], 6, "linear").select("period", F.col("yhat").alias("cost"))
+    assert scans(fc.commitment_expiry_overlay(charges, ahead)) == 2  # the forecast and the purchases
+
+
 def test_no_window_over_labels_targets_or_starts(charges):
     for name in ("matrix", "fold", "allocate", "untagged", "baseline", "summary"):
         for line in plan(ALL[name](charges)).split("Window [")[1:]:
