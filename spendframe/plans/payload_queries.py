@@ -17,9 +17,12 @@ TODAY = dt.date(2001, 9, 30)
 
 
 def documents(df: DataFrame, schema: str, *keep: str, **fields: Column) -> DataFrame:
-    """Rows as JSON text, parsed again the way a landed file is."""
+    """Rows as JSON text, parsed again the way a landed file is.
+
+    The text is parsed below a generator, which filters on what it says do not pass: each would parse it once more.
+    """
     text = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
-    return df.select(*keep, F.from_json(text, schema).alias("d")).select(*keep, "d.*")
+    return df.select(*keep, F.explode(F.array(F.from_json(text, schema))).alias("d")).select(*keep, "d.*")
 
 
 def totals(charges: DataFrame, *by: str) -> DataFrame:
