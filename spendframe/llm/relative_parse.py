@@ -116,22 +116,23 @@ def _fine(window: int, gram: int):
     return run
 
 
-_PIECES = "digest binary, low long, mark long, segment binary, at long, windows int, body binary"
+_PIECES = "digest binary, low long, mark long, segment binary, at array<long>, windows array<int>, body binary"
 
 
 def _cut(window: int, gram: int):
-    """The segments of each text with a chosen mark, and where they stand; a task sends the words of a segment once.
+    """The segments of each text with a chosen mark, and all places where they stand; a task sends the words of a segment once.
 
-    If a mark is the hash of a whole window, the windows of a run are equal and the first one stands for all.
+    A segment is one row however often a text repeats it. If a mark is the hash of a whole window, the windows of a run are
+    equal and the first one stands for all.
     """
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
     names = [f.split()[0] for f in _PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
         for batch in batches:
             for digest, low, text, chosen in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                words, rows = Words(joined(text)), []
+                words, rows = Words(joined(text)), {}
                 if xxhash.xxh3_128_digest(words.data) != digest:  # another text under the same id
                     continue
                 marks = window_marks(words.hashes(), window, gram)
@@ -144,11 +145,16 @@ def _cut(window: int, gram: int):
                         n = min(SEGMENT, first + size - at)
                         body = words.body(at, at + (1 if gram == window else n) + window - 1)
                         key = xxhash.xxh3_128_digest(body)
-                        rows.append((digest, low, mark, key, at, n, None if key in sent else body))
+                        row = rows.get((mark, key))
+                        if row:
+                            row[4].append(at)
+                            row[5].append(n)
+                            continue
+                        rows[mark, key] = digest, low, mark, key, [at], [n], None if key in sent else body
                         if len(sent) < REMEMBERED:
                             sent.add(key)
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows.values()), kinds)], names)
 
     return run
 
@@ -281,9 +287,11 @@ def _remaining(window: int):
             words = Words(joined(text))
             edges = np.zeros(words.n + 1, np.int64)
             for hit in hits:
-                for first, last in zip(hit["first"], hit["last"]):
-                    edges[hit["at"] + first] += 1
-                    edges[hit["at"] + last - 1 + window] -= 1
+                places = np.array(hit["at"])
+                spans = [(0, np.array(hit["windows"]))] if hit["whole"] else zip(hit["first"], hit["last"])
+                for first, last in spans:
+                    np.add.at(edges, places + first, 1)
+                    np.add.at(edges, places + last - 1 + window, -1)
             covered = np.cumsum(edges[:-1]) > 0
             turns = np.flatnonzero(np.diff(np.concatenate([[True], covered, [True]])))
             kept = b" ".join(words.part(a, b) for a, b in zip(turns[::2].tolist(), turns[1::2].tolist()))
@@ -308,11 +316,11 @@ def _found(distinct: DataFrame, window: int) -> DataFrame:
 
 
 def _hits(pieces: DataFrame, found: DataFrame) -> DataFrame:
-    """(digest, at, first, last): a text after the earliest with its segment loses all of it, the earliest what the parse found."""
+    """(digest, at, windows, whole, first, last): a text after the earliest with its segment loses all of it, the earliest what the
+    parse found, at each place."""
     both = pieces.select("digest", F.col("low").alias("own"), "mark", "segment", "at", "windows").join(found, ["mark", "segment"])
-    late = F.col("own") > F.col("low")
-    return both.select("digest", "at", F.when(late, F.array(F.lit(0))).otherwise(F.col("first")).alias("first"),
-                       F.when(late, F.array("windows")).otherwise(F.col("last")).alias("last")).filter(F.size("first") > 0)
+    whole = F.col("own") > F.col("low")
+    return both.select("digest", "at", "windows", whole.alias("whole"), "first", "last").filter(F.col("whole") | (F.size("first") > 0))
 
 
 def earlier(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, gram: int = GRAM,
@@ -351,12 +359,10 @@ def earlier(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
         fine = _chosen(stored(wide.select("digest", "text", "large").mapInArrow(_fine(window, gram), "digest binary, mark long"), "fine"))
         again = pool.select("digest", "low", "text").join(fine, "digest").select("digest", "low", "text", "chosen")
         exact = stored(again.mapInArrow(_cut(window, window), _PIECES), "exact")
-        late = stored(_found(_distinct(exact), window), "found")
         # The first window stands for its run, so what the parse found holds for the run.
-        late = exact.select("digest", F.col("low").alias("own"), "mark", "segment", "at", "windows").join(late, ["mark", "segment"]).filter(
-            (F.col("own") > F.col("low")) | (F.size("first") > 0))
-        hits = hits.union(late.select("digest", "at", F.array(F.lit(0)).alias("first"), F.array("windows").alias("last")))
-    found = hits.groupBy("digest").agg(F.collect_list(F.struct("at", "first", "last")).alias("hits"))
+        late = _hits(exact.drop("body"), stored(_found(_distinct(exact), window), "found"))
+        hits = hits.unionByName(late.withColumn("whole", F.lit(True)))
+    found = hits.groupBy("digest").agg(F.collect_list(F.struct("at", "windows", "whole", "first", "last")).alias("hits"))
     partly = flat(annotate(pool.select("digest", "text").join(found, "digest"), ["text", "hits"], _remaining(window),
                            "n_removed bigint, kept string, kept_text binary", "r"), "r", "digest")
     firsts = classes.filter(F.col("copies") > 1).select("digest", F.col("low").alias("first_low"))

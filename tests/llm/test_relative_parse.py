@@ -69,6 +69,21 @@ def test_tangled_texts(spark, monkeypatch, seed, mark_bytes):
     assert results(relative_parse.earlier(docs, window=8, gram=4)) == brute(rows, 8)
 
 
+def test_repeated_windows_of_a_text_are_one_row(spark, monkeypatch):
+    """A line over and over, in a mark that is cut finer: one row for each distinct window, with all its places, and all results."""
+    texts = [(i, f"lead{i} " + "is on. " * 300 + f"tail{i}") for i in range(4)] + [(9, "x " * 120 + "y " * 120 + "is on. " * 60 + "x " * 120)]
+    words = [[tuple(t.split()[i:i + 50]) for i in range(len(t.split()) - 49)] for _, t in texts]
+    batch = relative_parse.pa.RecordBatch.from_pylist([
+        {"digest": relative_parse.xxhash.xxh3_128_digest(data), "low": i, "text": t,
+         "chosen": relative_parse.runs(relative_parse.Words(data).hashes(), 50).view("int64").tolist()}
+        for i, t in texts for data in [relative_parse.joined(t)]])
+    rows = [row for out in relative_parse._cut(50, 50)(iter([batch])) for row in out.to_pylist()]
+    assert len(rows) == sum(len(set(w)) for w in words)
+    assert sum(sum(r["windows"]) for r in rows) == sum(map(len, words))
+    monkeypatch.setattr(relative_parse, "MARK_BYTES", 0)
+    assert results(relative_parse.earlier(spark.createDataFrame(texts, "doc_id long, text string"))) == brute(texts)
+
+
 def test_factors_and_their_boundaries():
     """Factors of two references that overlap in the parsed text: the windows over the boundary are covered as well."""
     reference = relative_parse.Reference([b"a b c d e f", b"d e f g h i", b"z a b c d e f g h i y"], [1, 2, 3], 3)
