@@ -140,16 +140,16 @@ def issues(df: DataFrame, keys: list[str] = [], strict: bool = False) -> DataFra
     return out
 
 
-def verdict(df: DataFrame, keys: list[str] = [], strict: bool = False) -> DataFrame:
-    """Per group: row count, errors, warnings, ok, from one pass."""
+def verdict(df: DataFrame, keys: list[str] = [], strict: bool = False, more: dict[str, Column] = {}) -> DataFrame:
+    """Per group: row count, errors, warnings, ok and the aggregates `more`, from one pass."""
     def having(severity: str) -> Column:
         return F.size(F.filter("found", lambda i: i["severity"] == severity)).cast("bigint")
 
     errors, warnings = having("error"), having("warning") + F.col("bad_pairs")
     if strict:
         errors, warnings = errors + warnings, F.lit(0).cast("bigint")
-    return counted(df, keys).select(*keys, "row_count", errors.alias("errors"), warnings.alias("warnings"),
-                                    (errors == 0).alias("ok"))
+    return counted(df, keys, more).select(*keys, "row_count", errors.alias("errors"), warnings.alias("warnings"),
+                                          (errors == 0).alias("ok"), *more)
 
 
 def provenance(df: DataFrame) -> DataFrame:

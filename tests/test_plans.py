@@ -11,6 +11,7 @@ from spendframe.operators import (
 )
 from spendframe.operators.scope import Scope
 from spendframe.plans import nightly, sinks
+from spendframe.plans.queries import QUERIES
 from spendframe.sources import testcharges as tc, warehouse as wh
 from tests.conftest import SF
 
@@ -174,3 +175,9 @@ def test_issues_read_the_rows_once(charges):
     for keys in ([], ["ProviderName"]):
         assert scans(va.issues(df, keys)) == 1
     assert {r["rule"] for r in va.issues(df.limit(0)).collect()} == {"missing_column"}
+
+
+def test_bindings_union_reads_the_feed_once(spark):
+    """Verdicts and sums are one report: no second scan of a table, and no charge row meets its binding's verdict in a join."""
+    df = QUERIES["S15_bindings_union"](spark, SF)
+    assert scans(df) == len(tc.TABLES) and "LeftAnti" not in plan(df)
