@@ -12,7 +12,7 @@ from spendframe.operators import (
 from spendframe.operators.scope import Scope
 from spendframe.plans import nightly, sinks
 from spendframe.plans.queries import QUERIES
-from spendframe.sources import testcharges as tc, warehouse as wh
+from spendframe.sources import payloads, testcharges as tc, warehouse as wh
 from tests.conftest import SF
 
 
@@ -181,3 +181,12 @@ def test_bindings_union_reads_the_feed_once(spark):
     """Verdicts and sums are one report: no second scan of a table, and no charge row meets its binding's verdict in a join."""
     df = QUERIES["S15_bindings_union"](spark, SF)
     assert scans(df) == len(tc.TABLES) and "LeftAnti" not in plan(df)
+
+
+def test_finout_parses_a_cell_once(spark):
+    """What compares a measure or falls back on it doesn't parse its cell again."""
+    docs = spark.createDataFrame([([{"amortizedCost_sum": '{"amount": 2}', "listCost_sum": "0"}, {"amortizedCost_sum": "3", "listCost_sum": '{"amount": 4}'}],)],
+                                 "data array<map<string,string>>")
+    costs = payloads.finout(docs, dt.date(2024, 1, 1), dt.date(2024, 2, 1)).select("BilledCost", "EffectiveCost", "ListCost")
+    assert [tuple(r) for r in costs.collect()] == [(2.0, 2.0, 2.0), (3.0, 3.0, 4.0)]
+    assert plan(costs).count("get_json_object") == 3
